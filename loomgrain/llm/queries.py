@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import importance, langid, minhash, packing, toxicity, vafile
+from loomgrain.llm import importance, kneser_ney, langid, minhash, packing, simhash, toxicity, unigram, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,10 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(_table(spark, sf_dir, "documents"))
 
@@ -34,13 +43,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_minhash_fingerprints, op3_exact_top_k, op4_pattern_packing, op6_language_id, op7_toxicity, op9_importance_resampling)
+    for f in (
+        op1_sentencepiece_unigram,
+        op2_minhash_fingerprints,
+        op3_exact_top_k,
+        op4_pattern_packing,
+        op5_kneser_ney,
+        op6_language_id,
+        op7_toxicity,
+        op8_simhash_components,
+        op9_importance_resampling,
+    )
 }
 
 #: Integer scores and fixed ties make the exact search expressible.

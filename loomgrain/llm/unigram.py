@@ -33,38 +33,32 @@ class DoubleArray:
                     children.append({})
                 at = to
             ends[at] = value
-        size = 2 * len(children) + 1024
+        window = 4096
+        size = 4 * len(children) + 64 * window
         self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         free = np.ones(size, bool)
-        free[0] = False
-        place, queue, low = {0: 0}, [0], 1
+        free[:258] = False  # a base is never negative
+        place, queue = {0: 0}, [0]
+        one, many = 258, 258  # where to look on: for nodes with one child, with several
         for node in queue:  # breadth first; queue grows
             kids = children[node]
             if not kids:
                 continue
             codes = np.fromiter(kids, np.int64, len(kids)) + 1
-            while not free[low]:
-                low += 1
-            least = int(codes.min())
-            spots = low + np.nonzero(free[low : low + 4096])[0]
-            while True:
-                spots = spots[spots > least]
-                bases = spots - least
-                ok = np.ones(len(bases), bool)
-                for c in codes:
-                    ok &= bases + c < len(free)
-                    ok[ok] = free[bases[ok] + c]
-                if ok.any():
-                    base = int(bases[ok.argmax()])
-                    break
-                last = int(spots[-1]) + 1 if len(spots) else low + 4096
-                if last + 600 > len(free):
-                    grow = len(free)
-                    free = np.concatenate([free, np.ones(grow, bool)])
-                    self.base = np.concatenate([self.base, np.zeros(grow, np.int32)])
-                    self.check = np.concatenate([self.check, np.full(grow, -1, np.int32)])
-                    self.value = np.concatenate([self.value, np.full(grow, -1, np.int32)])
-                spots = last + np.nonzero(free[last : last + 4096])[0]
+            if len(codes) == 1:
+                while not free[one]:
+                    one += 1
+                base = one - int(codes[0])
+            else:
+                while True:
+                    bases = many + np.arange(window) - int(codes.min())
+                    ok = free[bases + codes[0]].copy()
+                    for c in codes[1:]:
+                        ok &= free[bases + c]
+                    if ok.any():
+                        base = int(bases[ok.argmax()])
+                        break
+                    many += window  # what is left here goes to single children
             self.base[place[node]] = base
             for c, kid in kids.items():
                 at = base + c + 1
@@ -343,10 +337,9 @@ def encode_documents(docs: DataFrame, model: str, limit: int = 3_000_000) -> Dat
     itself, which decodes as a blank. Null texts are empty and have no ids. Work is per batch of ``limit``
     characters, so memory doesn't grow with the table; the vocabulary (fixed size) goes with the function.
     """
-    vocabulary = Vocabulary.load(model)
+    coder = Unigram(Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Unigram(vocabulary)
         for batch in batches:
             for a, b in _batches(batch, limit):
                 part = batch.slice(a, b - a)
