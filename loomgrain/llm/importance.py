@@ -105,16 +105,17 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> tup
     return ratio, float(zs[0] if at == 0 else (zs[at - 1] + zs[min(at, len(zs) - 1)]) / 2)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns and ``log_weight``: the text's n-grams under the target model against the raw one. Null text: 0."""
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
+def weigh(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...], name: str = "log_weight") -> DataFrame:
+    """``keep`` columns and the log weight: the text's n-grams under the target model against the raw one. Null text: 0."""
+    kinds = "".join(f"c{i} {t}, " for i, (_, t) in enumerate(docs.select(*keep).dtypes))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(len(ratio))
         for pdf in frames:
-            yield pdf.drop(columns="_text").assign(log_weight=[float(ratio[grams.of(t or "")].sum()) for t in pdf["_text"]])
+            yield pdf.drop(columns="t").assign(w=[float(ratio[grams.of(t or "")].sum()) for t in pdf["t"]])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{kinds}, log_weight double")
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    return source.mapInPandas(run, f"{kinds}w double").toDF(*keep, name)
 
 
 def gumbel(*key: Column, seed: int = 17) -> Column:
@@ -135,3 +136,17 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
     keyed = written(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(0)), F.col("log_weight"), seed=seed)), "weights")
     k = keyed.where(F.col("log_weight") >= cut).count()
     return keyed.withColumn("selected", F.col("gumbel_key") >= threshold_of_top(keyed, "gumbel_key", k))
+
+
+def select_documents(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that resampling selects, columns as they were.
+
+    Texts are weighed where they are read: once for the border, which needs the weights only, and once more
+    for the choice, so no text is shuffled or kept.
+    """
+    ratio, cut = fit_ratio(docs, labelled_sample(docs, labels, "quality", None, sample), buckets)
+    noise = gumbel(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("_weight"), seed=seed)
+    weighed = weigh(docs, ratio, tuple(docs.columns), "_weight").withColumn("_gumbel", F.col("_weight") + noise)
+    keys = written(weighed.select("_weight", "_gumbel"), "weights")
+    k = keys.where(F.col("_weight") >= cut).count()
+    return weighed.where(F.col("_gumbel") >= threshold_of_top(keys, "_gumbel", k)).select(*docs.columns)

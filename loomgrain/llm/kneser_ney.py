@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import json
-import os
 import shutil
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.llm.blocks import local_folder, opened, rows_of, save, shard_of, squeezed
 from loomgrain.llm.common import U64, Words, fold, lower_ascii, mix64, slices, utf8
-from loomgrain.operators.shared import shared_dir
 
 BEGIN, END = U64(0x0B51_B0A7_5EED_0001), U64(0x0E4D_E4D1_5EED_0002)  # hashes of the two marks no word can be
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -25,11 +22,6 @@ BLOB_SCHEMA = "shard int, a binary, b binary, n binary"
 BASE_ADD = 0.1
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """Equal ranges of the hash, so shards in turn are in hash order."""
-    return (((h >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int32)
-
-
 def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix64(u * U64(0x9E3779B97F4A7C15) ^ (v + U64(0x632BE59BD9B4E019)))
 
@@ -48,18 +40,6 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, u, first
 
 
-def _squeezed(x: np.ndarray, delta: bool = False) -> bytes:
-    if delta and len(x):
-        x = np.concatenate([x[:1], np.diff(x)])
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
-
-
-def _opened(raw: bytes, dtype: str, delta: bool = False) -> np.ndarray:
-    n = int.from_bytes(raw[-8:], "little")
-    x = np.frombuffer(pa.decompress(raw[:-8], decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
-    return np.cumsum(x, dtype=dtype) if delta else x
-
-
 def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of ``keys`` in order, with their counts (rows of ``counts``) summed."""
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
@@ -73,14 +53,6 @@ def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray
     return [k[at] for k in keys], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
 
 
-def _save(folder: str, name: str, x: np.ndarray) -> None:
-    """Whole or not at all, so a task that runs again or twice leaves the same file."""
-    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with open(temporary, "wb") as f:
-        np.save(f, x)
-    os.replace(temporary, f"{folder}/{name}.npy")
-
-
 def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
@@ -114,18 +86,6 @@ def discounts_of(n: np.ndarray) -> list[float]:
     return [float(np.clip(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.01, k + 1)) for k in range(3)]
 
 
-def local_folder(spark, label: str) -> str:
-    """A folder under the shared one, as a path that every machine opens; the share must be a mounted file system."""
-    root = shared_dir(spark)
-    scheme, _, path = root.rpartition("://")
-    if scheme not in ("", "file") and not root.startswith("file:"):
-        raise ValueError(f"the model is memory-mapped, so spark.checkpoint.dir must be a mounted folder, not {root}")
-    path = (path or root).removeprefix("file:")
-    folder = f"{path}/loomgrain/{label}-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    return folder
-
-
 def frequent_words(docs: DataFrame, rows: int = 500, share: float = 0.0005) -> np.ndarray:
     """Words that are frequent in the first rows: their bigrams are dealt out by pair. Results don't depend on it."""
     v, _, _ = tokens_of([r["text"] or "" for r in docs.select("text").take(rows)])
@@ -133,17 +93,6 @@ def frequent_words(docs: DataFrame, rows: int = 500, share: float = 0.0005) -> n
     return np.unique(np.concatenate([h[n > max(2, share * len(v))], [BEGIN]]).astype(U64))
 
 
-def _rows(parts: Iterator[tuple], at_once: int = 400) -> Iterator[pd.DataFrame]:
-    held = []
-    for part in parts:
-        held.append(part)
-        if len(held) == at_once:
-            yield pd.DataFrame(held, columns=["shard", "a", "b", "n"])
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=["shard", "a", "b", "n"])
-
-
 def train(docs: DataFrame, shards: int | None = None) -> Model:
     """Count all rows of ``docs(doc_id, text)``; null texts are empty (one END after BEGIN).
 
@@ -169,7 +118,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
             for s in range(shards):
                 a, b = ends[s], ends[s + 1]
                 if a < b:
-                    yield s, _squeezed(u[a:b], True), _squeezed(v[a:b]), _squeezed(n[a:b].astype(np.uint32))
+                    yield s, squeezed(u[a:b], True), squeezed(v[a:b]), squeezed(n[a:b].astype(np.uint32))
 
         for pdf in slices(frames):
             v, u, _ = tokens_of(list(pdf["text"]))
@@ -177,10 +126,10 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
             vs.append(v)
             pending += len(v)
             if pending > 5_000_000:
-                yield from _rows(blocks())
+                yield from rows_of(blocks())
                 us, vs, pending = [], [], 0
         if pending:
-            yield from _rows(blocks())
+            yield from rows_of(blocks())
 
     def merge_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, pending = None, [], 0
@@ -192,7 +141,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         for pdf in frames:
             for s, a, b, n in zip(pdf["shard"], pdf["a"], pdf["b"], pdf["n"], strict=True):
                 shard = s
-                held.append((_opened(a, "<u8", True), _opened(b, "<u8"), _opened(n, "<u4").astype(np.int64)))
+                held.append((opened(a, "<u8", True), opened(b, "<u8"), opened(n, "<u4").astype(np.int64)))
                 pending += len(held[-1][0])
                 if pending > 6_000_000 and pending > 2 * len(held[0][0]):
                     held = merged()
@@ -204,11 +153,11 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         p = pair_hash(u, v)
         order = np.argsort(p, kind="stable")
         sorted_n = n[order]
-        _save(folder, f"pair-{shard}-key", p[order])
-        _save(folder, f"pair-{shard}-n", np.minimum(sorted_n, 255).astype(np.uint8))
+        save(folder, f"pair-{shard}-key", p[order])
+        save(folder, f"pair-{shard}-n", np.minimum(sorted_n, 255).astype(np.uint8))
         large = np.nonzero(sorted_n >= 255)[0]
-        _save(folder, f"pair-{shard}-large", np.stack([large, sorted_n[large]]))
-        _save(folder, f"stat-pair-{shard}", np.array([len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]))
+        save(folder, f"pair-{shard}-large", np.stack([large, sorted_n[large]]))
+        save(folder, f"stat-pair-{shard}", np.array([len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]))
         zero, one = np.zeros(len(u), np.int64), np.ones(len(u), np.int64)
         as_next = np.stack([n, one, zero, zero, zero], axis=1)
         as_first = np.stack([np.where(u == BEGIN, n, 0), zero, n == 1, n == 2, n > 2], axis=1)
@@ -216,15 +165,15 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         to = shard_of(w, shards)
         ends = np.searchsorted(to, np.arange(shards + 1))
         full = np.nonzero(np.diff(ends))[0]
-        yield from _rows((int(s), _squeezed(w[ends[s] : ends[s + 1]], True), b"", _squeezed(sums[ends[s] : ends[s + 1]].T.ravel())) for s in full)
+        yield from rows_of((int(s), squeezed(w[ends[s] : ends[s + 1]], True), b"", squeezed(sums[ends[s] : ends[s + 1]].T.ravel())) for s in full)
 
     def merge_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, keys, sums, pending = None, [], [], 0
         for pdf in frames:
             for s, a, n in zip(pdf["shard"], pdf["a"], pdf["n"], strict=True):
                 shard = s
-                keys.append(_opened(a, "<u8", True))
-                sums.append(_opened(n, "<i8").reshape(5, -1).T)
+                keys.append(opened(a, "<u8", True))
+                sums.append(opened(n, "<i8").reshape(5, -1).T)
                 pending += len(keys[-1])
                 if pending > 2_000_000 and pending > 2 * len(keys[0]):
                     (k,), n = _summed([np.concatenate(keys)], np.concatenate(sums))
@@ -232,9 +181,9 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         if not keys:
             return
         (w,), n = _summed([np.concatenate(keys)], np.concatenate(sums))
-        _save(folder, f"word-{shard}-key", w)
+        save(folder, f"word-{shard}-key", w)
         for i, name in enumerate(("count", "before", "one", "two", "more")):
-            _save(folder, f"word-{shard}-{name}", _narrow(n[:, i]))
+            save(folder, f"word-{shard}-{name}", _narrow(n[:, i]))
         token = n[:, 1] > 0  # BEGIN follows nothing
         yield pd.DataFrame({"tokens": [int(n[token, 0].sum())], "types": [int(token.sum())], **{f"n{k}": [int((n[:, 1] == k).sum())] for k in (1, 2, 3, 4)}})
 

@@ -116,23 +116,23 @@ class Ranker:
         return self.names[best], float(1.0 - away[best] / (self.size * len(own)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` (1: the profile's very order, 0: nothing in common).
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with the language and its score under ``names`` (score 1: the profile's very order, 0: nothing in common).
 
     Only the text is looked at. A null text, or one without a letter, is ``und`` with score 0; so is every
     text if no profile was learned.
     """
-    ranked = {"names": profiles}
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
+    kinds = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.select(*keep).dtypes))
+    ours = "lang_pred string, score double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker = Ranker(ranked["names"], size)
+        ranker = Ranker(profiles, size)
         for pdf in frames:
-            got = [ranker.predict(t) for t in pdf["_text"]]
-            yield pdf.drop(columns="_text").assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+            got = [ranker.predict(t) for t in pdf["t"]]
+            yield pdf.drop(columns="t").assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
 
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    return source.mapInPandas(run, f"{kinds}, lang_pred string, score double" if kinds else "lang_pred string, score double")
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    return source.mapInPandas(run, f"{kinds}, {ours}" if kinds else ours).toDF(*keep, *names)
 
 
 def predict_documents(docs: DataFrame, size: int = 400, mod: int = 3, held: int = 1) -> DataFrame:

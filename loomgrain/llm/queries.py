@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import importance, kneser_ney, langid, minhash, packing, simhash, toxicity, unigram, vafile
+from loomgrain.llm import importance, kneser_ney, langid, minhash, packing, simhash, suffixes, toxicity, unigram, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_toxicity,
         op8_simhash_components,
         op9_importance_resampling,
+        op10_repeated_windows,
     )
 }
 
