@@ -56,3 +56,50 @@ def _small_star(e: DataFrame) -> DataFrame:
     linked = e.alias("e").join(least.alias("l"), F.col("e.u") == F.col("l.u"))
     moved = linked.where("e.v <> l.m").select(F.col("e.v").alias("u"), F.col("l.m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """``(node, depth)``: nodes of ``edges(src, dst)`` at the end of a path from ``roots(node)``, roots at depth 0.
+
+    A frontier join for each step; what was seen is anti-joined, so cycles end.
+    """
+    edges = edges.where("src is not null and dst is not null").distinct()
+    seen = cut_lineage(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier = seen
+    for depth in range(1, max_rounds + 1):
+        step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return seen
+        seen = cut_lineage(seen.unionByName(frontier))
+    raise RuntimeError(f"the frontier is not empty after {max_rounds} rounds")
+
+
+def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(node, path)`` of a functional graph ``(node, next)``: the nodes from each one on, until none or a repeat.
+
+    Paths double in length with every round: a path is joined to the path that begins where it ends.
+    """
+    succ = successor.where("node is not null").groupBy("node").agg(F.min("next").alias("next"))
+    paths = cut_lineage(succ.select("node", F.array("node").alias("path"), "next"))
+    for _ in range(max_rounds):
+        tail = paths.select(F.col("node").alias("t"), F.col("path").alias("t_path"), F.col("next").alias("t_next"))
+        longer = paths.join(tail, paths["next"] == tail["t"], "left")
+        fresh = F.filter(F.col("t_path"), lambda x: ~F.array_contains("path", x))
+        whole = F.size(fresh) == F.size("t_path")
+        out = longer.select(
+            "node",
+            F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path", _until_repeat(F.col("path"), F.col("t_path")))).alias("path"),
+            F.when(F.col("t").isNotNull() & whole, F.col("t_next")).alias("next"),
+        )
+        paths = cut_lineage(out)
+        if paths.where("next is not null").isEmpty():
+            break
+    return paths.select("node", "path")
+
+
+def _until_repeat(path, more):
+    """Members of ``more`` up to the first that ``path`` holds already."""
+    hit = F.transform(more, lambda x: F.array_contains(path, x))
+    at = F.coalesce(F.nullif(F.array_position(hit, True), F.lit(0)), F.size(more) + 1)
+    return F.slice(more, F.lit(1), (at - 1).cast("int"))
