@@ -85,8 +85,7 @@ def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         tail = paths.select(F.col("node").alias("t"), F.col("path").alias("t_path"), F.col("next").alias("t_next"))
         longer = paths.join(tail, paths["next"] == tail["t"], "left")
-        fresh = F.filter(F.col("t_path"), lambda x: ~F.array_contains("path", x))
-        whole = F.size(fresh) == F.size("t_path")
+        whole = ~F.arrays_overlap("path", "t_path")
         out = longer.select(
             "node",
             F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path", _until_repeat(F.col("path"), F.col("t_path")))).alias("path"),
