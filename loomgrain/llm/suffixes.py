@@ -19,6 +19,7 @@ _COLUMNS = ("shard", "kind", "doc", "at", "more")
 _BLOCKS = "shard int, kind int, doc binary, at binary, more binary"
 _SPANS, _CONTEXTS, _WINDOWS = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15
+CHUNK = 400_000  # characters whose hashes are held at once, eight bytes each in several arrays
 LAST = 2**63 - 1  # a null id's place in the order
 
 
@@ -111,7 +112,7 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
             for s in np.nonzero(np.diff(ends))[0]:
                 yield int(s), squeezed(h[ends[s] : ends[s + 1]], True), squeezed(n[ends[s] : ends[s + 1]].astype(np.uint32))
 
-        for pdf in slices(frames):
+        for pdf in slices(frames, limit=CHUNK):
             _, begin, at, h = anchors_of([utf8(t) for t in pdf["text"]], depth)
             doc = np.searchsorted(begin, at, side="right") - 1
             order = np.lexsort((h, doc))
@@ -120,7 +121,7 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
             held.append(h[new])
             pending += len(held[-1])
-            if pending > 5_000_000:
+            if pending > 1_000_000:
                 yield from rows_of(blocks(), columns=("shard", "h", "n"))
                 held, pending = [], 0
         if pending:
@@ -142,7 +143,7 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
                 hs.append(opened(h, "<u8", True))
                 ns.append(opened(n, "<u4").astype(np.int64))
                 pending += len(hs[-1])
-                if pending > 6_000_000 and pending > 2 * len(hs[0]):
+                if pending > 1_500_000 and pending > 2 * len(hs[0]):
                     h, n = merged()
                     hs, ns, pending = [h], [n], len(h)
         if pending:
@@ -294,7 +295,7 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
                 i = order[ends[s] : ends[s + 1]]
                 yield int(s), _SPANS, squeezed(np.concatenate([doc[i].view(U64), text[i].view(U64)])), squeezed(np.concatenate([start[i], end[i]]).view(U64)), b""
 
-        for pdf in slices(frames):
+        for pdf in slices(frames, limit=CHUNK):
             joined, begin, at, h = anchors_of([utf8(t) for t in pdf["text"]], depth)
             hit = np.nonzero(known.has("repeated", h))[0]
             at, h = at[hit], h[hit]
@@ -305,7 +306,7 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
             doc, text = pdf["key"].to_numpy(np.int64), pdf["text_hash"].to_numpy(np.int64)
             held.append(Entries(doc[own], text[own], place, np.minimum(place, depth.slack), np.minimum(size[own] - place, depth.window), h, context))
             pending += len(at)
-            if pending > 500_000:
+            if pending > 200_000:
                 yield from rows_of(blocks(), columns=_COLUMNS)
                 held, pending = [], 0
         if pending:
@@ -337,14 +338,15 @@ def covered_windows(e: Entries, depth: Depth) -> np.ndarray:
 
 
 def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
-    """``(key, text_hash, spans)`` of texts with bytes to remove; spans are pairs of long, unmerged.
+    """``(key, text_hash, spans)`` of texts with bytes to remove; spans are pairs of long, in order, none touching.
 
     ``docs(key, text_hash, text)``: ``key`` orders the documents. Most significant digits first: the first
     pass sorts one gram of each window and drops the grams of one document; the second sorts what is left
     through the window's end. The groups of equal windows are exactly the repeated ones.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * parts  # a shard is held whole, so they are small
     folder = local_folder(spark, "suffixes")
     first_pass(docs, depth, folder, shards, crowd)
 
@@ -379,17 +381,28 @@ def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
             spans.append((d[done], t[done], start[done], start[done] + depth.window))
         if spans:
             d, t, a, b = (np.concatenate(c) for c in zip(*spans, strict=True))
-            order = np.lexsort((a, t, d))
-            d, t, a, b = d[order], t[order], a[order], b[order]
-            cut = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))[0] if len(d) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(d))
-            for lo in range(0, len(cut), 5000):
-                i = range(lo, min(lo + 5000, len(cut)))
-                yield pd.DataFrame({"key": d[cut[lo : lo + 5000]], "text_hash": t[cut[lo : lo + 5000]], "spans": [_joined(a[cut[x] : ends[x]], b[cut[x] : ends[x]]).tobytes() for x in i]})
+            to = shard_of(mix64(t.view(U64)), parts)
+            order = np.lexsort((a, t, d, to))
+            ends = np.searchsorted(to[order], np.arange(parts + 1))
+            blobs = ((int(s), squeezed(np.concatenate([d[i], t[i]]).view(U64)), squeezed(np.concatenate([a[i], b[i]]).view(U64))) for s in np.nonzero(np.diff(ends))[0] for i in (order[ends[s] : ends[s + 1]],))
+            yield from rows_of(blobs, columns=("shard", "doc", "at"))
+
+    def by_text(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(*opened(doc, "<i8").reshape(2, -1), *opened(at, "<i8").reshape(2, -1)) for pdf in frames for doc, at in zip(pdf["doc"], pdf["at"], strict=True)]
+        if not held:
+            return
+        d, t, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((a, t, d))
+        d, t, a, b = d[order], t[order], a[order], b[order]
+        first = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))[0]
+        ends = np.append(first[1:], len(d))
+        for lo in range(0, len(first), 5000):
+            i = range(lo, min(lo + 5000, len(first)))
+            yield pd.DataFrame({"key": d[first[lo : lo + 5000]], "text_hash": t[first[lo : lo + 5000]], "spans": [_joined(a[first[x] : ends[x]], b[first[x] : ends[x]]).tobytes() for x in i]})
 
     blocks = second_pass(docs, depth, folder, shards).repartitionById(shards, F.col("shard"))
-    found = blocks.mapInPandas(merge, "key long, text_hash long, spans binary")
-    return found.groupBy("key", "text_hash").agg(F.collect_list("spans").alias("spans"))
+    found = blocks.mapInPandas(merge, "shard int, doc binary, at binary").repartitionById(parts, F.col("shard"))
+    return found.mapInPandas(by_text, "key long, text_hash long, spans binary")
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -402,12 +415,8 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[at], reach[np.append(at[1:], len(a)) - 1]], axis=1).astype(np.int64)
 
 
-def _all_spans(parts: list[bytes] | None) -> np.ndarray:
-    if parts is None or not len(parts):
-        return np.zeros((0, 2), np.int64)
-    x = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in parts])
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    return _joined(x[:, 0], x[:, 1])
+def _all_spans(spans: bytes | None) -> np.ndarray:
+    return np.zeros((0, 2), np.int64) if spans is None else np.frombuffer(spans, np.int64).reshape(-1, 2)
 
 
 def _kept(raw: bytes, spans: np.ndarray) -> bytes:
@@ -464,12 +473,12 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(frames):
             texts = []
-            for old, text, parts in zip(pdf[f"c_{at}"], pdf["text"], pdf["spans"]):
-                if old is None or parts is None or not len(parts):
+            for old, text, spans in zip(pdf[f"c_{at}"], pdf["text"], pdf["spans"]):
+                if old is None or spans is None:
                     texts.append(old)
                 else:
                     raw = utf8(text)
-                    texts.append(_kept(raw, _whole_characters(raw, _all_spans(parts))).decode("utf-8", "surrogatepass"))
+                    texts.append(_kept(raw, _whole_characters(raw, _all_spans(spans))).decode("utf-8", "surrogatepass"))
             yield pdf[[f"c_{i}" for i in range(len(keep))]].assign(**{f"c_{at}": texts})
 
     schema = ", ".join(f"c_{i} {kinds[c]}" for i, c in enumerate(keep))
