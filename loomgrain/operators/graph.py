@@ -21,6 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     cur = cut_lineage(_directed(e.where("u <> v")).distinct())
     before = _signature(cur)
+    if not before[0]:
+        return nodes.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
         cur = cut_lineage(_small_star(_large_star(cur)))
         now = _signature(cur)
@@ -83,6 +85,8 @@ def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
     succ = successor.where("node is not null").groupBy("node").agg(F.min("next").alias("next"))
     paths = cut_lineage(succ.select("node", F.array("node").alias("path"), "next"))
     for _ in range(max_rounds):
+        if paths.where("next is not null").isEmpty():
+            break
         tail = paths.select(F.col("node").alias("t"), F.col("path").alias("t_path"), F.col("next").alias("t_next"))
         longer = paths.join(tail, paths["next"] == tail["t"], "left")
         whole = ~F.arrays_overlap("path", "t_path")
@@ -92,8 +96,6 @@ def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
             F.when(F.col("t").isNotNull() & whole, F.col("t_next")).alias("next"),
         )
         paths = cut_lineage(out)
-        if paths.where("next is not null").isEmpty():
-            break
     return paths.select("node", "path")
 
 
