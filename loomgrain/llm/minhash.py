@@ -31,6 +31,7 @@ class OnePermutation:
         self.bins, self.bits, self.words = bins, bits, words
         rng = np.random.default_rng(seed)
         self.probe = np.stack([rng.permutation(bins) for _ in range(bins)]).astype(np.int32)
+        self.salt = rng.integers(0, 2**63, bins).astype(U64)
         self.rank = np.argsort(self.probe, axis=1).astype(np.int32)
 
     def shingles(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +78,8 @@ class OnePermutation:
             part = left[lo : lo + 4096]
             source[part] = np.where(full[d[part]], self.rank[e[part]], self.bins).argmin(axis=1)
         low[d, e] = low[d, source]
-        value = (low & U64((1 << self.bits) - 1)).astype(np.uint8)
+        with np.errstate(over="ignore"):  # bits of the value and the bin: values that fill many bins agree by chance in each bin anew
+            value = (mix64(low ^ self.salt) & U64((1 << self.bits) - 1)).astype(np.uint8)
         per = 8 // self.bits
         out = np.zeros((len(raws), self.bins // per), np.uint8)
         for j in range(per):
