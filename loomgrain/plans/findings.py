@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.frontend.facts import relation
 from loomgrain.operators import graph, ngrams
-from loomgrain.operators.shared import cut_lineage
+from loomgrain.operators.shared import settled
 from loomgrain.plans import conventions as rules
 from loomgrain.plans.links import Links
 
@@ -110,7 +110,7 @@ def duplicates(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Token windows that repeat inside function bodies, and functions of one shape under several names."""
     small = files.where(F.size(F.split("text", "\n")) <= MAX_LINES).select("rel")
     rows = facts.join(small, "rel", "left_semi").where(F.size("tokens") >= WINDOW)
-    rows = cut_lineage(rows.select("file", "rel", "tokens", "functions", "lists", F.transform("tokens", lambda t: t["norm"]).alias("norm")))
+    rows = settled(rows.select("file", "rel", "tokens", "functions", "lists", F.transform("tokens", lambda t: t["norm"]).alias("norm")))
     pairs = ngrams.star_pairs(ngrams.windows(rows, "rel", "norm", WINDOW), "rel", WINDOW, BUCKET_CAP)
     both_or_neither = lambda p: F.col("a").rlike(p) & F.col("b").rlike(p)
     allowed = ~both_or_neither(rules.I18N) & ((F.col("a") == F.col("b")) | ~(both_or_neither(rules.PUBLICATION) | both_or_neither(rules.MIGRATIONS) | (_base("a") == _base("b"))))
@@ -149,7 +149,7 @@ def duplicates(facts: DataFrame, files: DataFrame) -> DataFrame:
     words = F.array_join(F.transform(F.slice("x", 1, 10), lambda t: t["text"]), " ")
     preview = F.when(F.length(words) > 80, F.concat(F.substring(words, 1, 77), F.lit("..."))).otherwise(words)
     loc = lambda s, x: spot(F.col(f"{s}_file"), F.col(x)[0]["line"], None, F.element_at(x, -1)["line"])
-    m = cut_lineage(m.select("similarity", score.alias("confidence"), "n", preview.alias("preview"), loc("a", "x").alias("l"), loc("b", "y").alias("r")))
+    m = settled(m.select("similarity", score.alias("confidence"), "n", preview.alias("preview"), loc("a", "x").alias("l"), loc("b", "y").alias("r")))
     windows = _clusters(m)
     return windows.unionByName(_structural(rows.select("file", "rel", "functions"), windows))
 
@@ -212,7 +212,7 @@ def insights(issues: DataFrame, links: Links, monorepo: bool) -> tuple[DataFrame
 
 
 def _orphans(dead: DataFrame, links: Links, monorepo: bool) -> tuple[DataFrame, DataFrame]:
-    lost = cut_lineage(links.unreachable().join(links.files.select("rel", "file"), "rel").withColumn("folder", F.regexp_extract("rel", r"^(.*)/[^/]*$", 1)))
+    lost = settled(links.unreachable().join(links.files.select("rel", "file"), "rel").withColumn("folder", F.regexp_extract("rel", r"^(.*)/[^/]*$", 1)))
     ui = lost.where(F.col("folder").rlike(rules.SCAFFOLD_DIR))
     big = ui.groupBy("folder").agg(F.sort_array(F.collect_list("file")).alias("files")).where("size(files) >= 3")
     scaffold = finding(big, "scaffold-folder", confidence=F.lit(0.8), folder=F.col("folder"), files=F.col("files"), scaffold=F.lit("shadcn-ui"))
@@ -230,7 +230,7 @@ def _orphans(dead: DataFrame, links: Links, monorepo: bool) -> tuple[DataFrame,
 def _wrapper_chains(dead: DataFrame, wrappers: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = Window.partitionBy("location.file", "symbol").orderBy(F.desc("location.line"))
     d = dead.withColumn("_r", F.row_number().over(last)).where("_r = 1").select(F.col("location.file").alias("f"), F.col("symbol").alias("s"), F.col("confidence").alias("dc"), F.col("id").alias("did"))
-    j = cut_lineage(wrappers.join(d, (F.col("location.file") == F.col("f")) & (F.col("outerName") == F.col("s"))))
+    j = settled(wrappers.join(d, (F.col("location.file") == F.col("f")) & (F.col("outerName") == F.col("s"))))
     out = finding(j, "dead-wrapper-chain", confidence=F.least("confidence", "dc"), location=F.col("location"), outerName=F.col("outerName"), innerCall=F.col("innerCall"))
     return out, j.select("id").union(j.select(F.col("did")))
 
@@ -243,7 +243,7 @@ def _dead_duplicates(dead: DataFrame, dups: DataFrame) -> tuple[DataFrame, DataF
     hit = places.join(d, near, "left").groupBy("id", "p").agg(F.max(F.struct("l", "s", "dc", "did")).alias("d"), F.first("confidence").alias("confidence"), F.first("similarity").alias("similarity"), F.first("primary").alias("primary"), F.first("matches").alias("matches"))
     hit = hit.withColumn("d", F.when(F.col("d.did").isNotNull(), F.col("d")))
     groups = hit.groupBy("id").agg(F.count("*").alias("n"), F.count("d").alias("hits"), F.count_distinct("d.did").alias("different"), F.min("d.dc").alias("dc"), F.first("confidence").alias("confidence"), F.first("similarity").alias("similarity"), F.first("primary").alias("primary"), F.first("matches").alias("matches"), F.sort_array(F.collect_list(F.struct("p", "d.s", "d.did"))).alias("g"))
-    whole = cut_lineage(groups.where("hits = n and different = n"))
+    whole = settled(groups.where("hits = n and different = n"))
     names = F.transform("g", lambda x: x["s"])
     out = finding(whole, "dead-duplicate-pair", confidence=F.least("confidence", "dc"), primary=F.col("primary"), matches=F.col("matches"), similarity=F.col("similarity"), primarySymbol=names[0], matchSymbols=F.slice(names, 2, 1_000_000))
     return out, whole.select("id").union(whole.select(F.explode(F.transform("g", lambda x: x["did"]))))
@@ -251,10 +251,10 @@ def _dead_duplicates(dead: DataFrame, dups: DataFrame) -> tuple[DataFrame, DataF
 
 def _over_abstraction(wrappers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chains of three wrappers of one file or more that end in a plain call; of two that overlap, the earlier in order."""
-    w = cut_lineage(wrappers.select("id", "location", F.col("location.file").alias("f"), "outerName", "innerCall", F.regexp_extract("innerCall", r"^([A-Za-z_$][\w$]*)\(", 1).alias("callee")))
+    w = settled(wrappers.select("id", "location", F.col("location.file").alias("f"), "outerName", "innerCall", F.regexp_extract("innerCall", r"^([A-Za-z_$][\w$]*)\(", 1).alias("callee")))
     by_name = w.groupBy("f", "outerName").agg(F.max_by("id", F.struct("location.line", "location.column")).alias("next"))
     succ = w.select(F.col("id").alias("node"), "f", "callee").join(by_name, (by_name["outerName"] == F.col("callee")) & (w["f"] == by_name["f"]), "left").select("node", "next")
-    paths = cut_lineage(graph.chains(succ).where("size(path) >= 3"))
+    paths = settled(graph.chains(succ).where("size(path) >= 3"))
     order = w.select(F.col("id").alias("m"), F.struct("location.line", "location.column").alias("o"), "f")
     heads = paths.join(order, F.col("node") == F.col("m")).select("node", "path", "o")
     members = heads.select(F.col("node").alias("head"), F.col("o").alias("ho"), F.explode("path").alias("x"))
@@ -262,7 +262,7 @@ def _over_abstraction(wrappers: DataFrame) -> tuple[DataFrame, DataFrame]:
     link = w.select(F.col("id").alias("x"), F.struct("location", F.col("outerName").alias("name")).alias("link"), "innerCall", "callee")
     each = kept.select("node", F.posexplode("path").alias("p", "x")).join(link, "x")
     groups = each.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("p", "link"))).alias("g"), F.max(F.struct("p", "innerCall", "callee")).alias("last"))
-    groups = cut_lineage(groups.where("last.callee <> ''"))
+    groups = settled(groups.where("last.callee <> ''"))
     score = F.least(F.lit(0.95), F.lit(0.85) + F.lit(0.03) * (F.size("g") - 3))
     out = finding(groups, "over-abstraction-chain", confidence=score, chain=F.transform("g", lambda x: x["link"]), terminalCall=F.col("last.innerCall"))
     return out, kept.join(groups, "node", "left_semi").select(F.explode("path").alias("id"))
@@ -274,6 +274,6 @@ def _wrapper_files(wrappers: DataFrame, links: Links) -> tuple[DataFrame, DataFr
     named = relation_of(links, "exports").where("form = 'named' and spec is null").groupBy("file").agg(F.count("*").alias("twice"))
     total = listed.join(own, "file", "full").join(named, "file", "left").select("file", (F.coalesce("e", F.lit(0)) + F.coalesce("d", F.lit(0)) - F.coalesce("twice", F.lit(0))).alias("total"))
     per = wrappers.groupBy(F.col("location.file").alias("file")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
-    hit = cut_lineage(per.join(total, "file").where("n >= 2 and total > 0 and n <= total and n / total >= 0.5"))
+    hit = settled(per.join(total, "file").where("n >= 2 and total > 0 and n <= total and n / total >= 0.5"))
     out = finding(hit, "wrapper-only-file", confidence=F.col("c"), file=F.col("file"), wrapperCount=F.col("n"), totalExports=F.col("total"))
     return out, wrappers.join(hit.select(F.col("file").alias("_f")), F.col("location.file") == F.col("_f"), "left_semi").select("id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.frontend.facts import extract, relation
-from loomgrain.operators.shared import cut_lineage, written
+from loomgrain.operators.shared import settled, written
 from loomgrain.plans import conventions as rules
 from loomgrain.plans import findings
 from loomgrain.plans.links import Links
@@ -73,14 +73,14 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None, only: l
     issues = parts[0]
     for p in parts[1:]:
         issues = issues.unionByName(p)
-    issues = cut_lineage(issues.withColumn("id", F.monotonically_increasing_id()))
+    issues = settled(issues.withColumn("id", F.monotonically_increasing_id()))
     insights, used = findings.insights(issues, links, in_monorepo or bool(tree.workspace_globs(home)))
     if not verbose:
         issues = issues.join(used, "id", "left_anti")
     issues = issues.drop("id")
     if min_confidence > 0:
         issues, insights = issues.where(F.col("confidence") >= min_confidence), insights.where(F.col("confidence") >= min_confidence)
-    issues, insights = cut_lineage(issues), cut_lineage(insights)
+    issues, insights = settled(issues), settled(insights)
     return Result(issues, insights, len(rels), int((time.time() - began) * 1000), home, facts, files)
 
 
