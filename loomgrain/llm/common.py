@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +35,20 @@ def slices(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = 4_
     for pdf in frames:
         if not len(pdf):
             continue
-        ends = np.cumsum([len(t) for t in pdf[column]])
+        ends = np.cumsum([len(t or "") for t in pdf[column]])
         at, base = 0, 0
         while at < len(pdf):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield pdf.iloc[at:to]
             at, base = to, int(ends[to - 1])
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later tasks, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def lower_ascii(raw: bytes) -> bytes:

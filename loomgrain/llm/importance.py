@@ -17,7 +17,6 @@ from loomgrain.operators.selection import threshold_of_top
 from loomgrain.operators.shared import written
 
 BUCKETS = 10_000
-_WORD = re.compile(r"\S+")
 _CLASSES = str.maketrans({**{chr(c): "9" for c in range(48, 58)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}})
 _RUNS = re.compile(r"(.)\1+")
 _OTHER = re.compile(r"[^\x00-\x7f]")
@@ -25,6 +24,11 @@ _OTHER = re.compile(r"[^\x00-\x7f]")
 
 def shape(word: str) -> str:
     """Character classes of a word with runs shortened: letters by case, digits, other signs as they are."""
+    if word.isalpha():  # the common cases, by the same rule
+        if word.islower():
+            return "a"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
     coarse = _OTHER.sub(lambda m: ("A" if m[0].isupper() else "a") if m[0].isalpha() else m[0], word.translate(_CLASSES))
     return _RUNS.sub(r"\1", coarse)[:12]
 
@@ -33,22 +37,25 @@ class Grams:
     """Hashed unigrams and bigrams of word shapes; a word that repeats the one before has a shape of its own."""
 
     def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.shapes, self.pairs = buckets, {}, {}
-
-    def _code(self, word: str, limit: int = 200_000) -> int:
-        code = self.shapes.get(word)
-        if code is None:
-            if len(self.shapes) > limit:
-                self.shapes.clear()
-            code = self.shapes[word] = zlib.crc32(shape(word).encode("utf-8", "surrogatepass"))
-        return code
+        self.buckets, self.shapes = buckets, {}
+
+    def _codes(self, words: list[str], limit: int = 200_000) -> np.ndarray:
+        known = self.shapes
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(known) > limit:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = zlib.crc32(shape(w).encode("utf-8", "surrogatepass"))
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def of(self, text: str) -> np.ndarray:
         """Bucket of every n-gram, repeats included."""
-        words = _WORD.findall(text)
+        words = text.split()
         if not words:
             return np.zeros(0, np.int64)
-        code = np.fromiter(map(self._code, words), np.uint64, len(words))
+        code = self._codes(words)
         same = np.fromiter(map(str.__eq__, words[1:], words), bool, len(words) - 1)
         code[1:][same] ^= np.uint64(0xA5A5A5A5A5)
         pair = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -108,14 +115,15 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> tup
 def weigh(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...], name: str = "log_weight") -> DataFrame:
     """``keep`` columns and the log weight: the text's n-grams under the target model against the raw one. Null text: 0."""
     kinds = "".join(f"c{i} {t}, " for i, (_, t) in enumerate(docs.select(*keep).dtypes))
+    sent = keep if "text" in keep else (*keep, "text")  # the text goes to the workers once
+    own, text = [f"c{i}" for i in range(len(keep))], f"c{sent.index('text')}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(len(ratio))
-        for pdf in frames:
-            yield pdf.drop(columns="t").assign(w=[float(ratio[grams.of(t or "")].sum()) for t in pdf["t"]])
+        for pdf in slices(frames, text):
+            yield pdf[own].assign(w=[float(ratio[grams.of(t or "")].sum()) for t in pdf[text]])
 
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    return source.mapInPandas(run, f"{kinds}w double").toDF(*keep, name)
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sent)]).mapInPandas(run, f"{kinds}w double").toDF(*keep, name)
 
 
 def gumbel(*key: Column, seed: int = 17) -> Column:

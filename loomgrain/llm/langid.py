@@ -124,15 +124,16 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400,
     """
     kinds = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.select(*keep).dtypes))
     ours = "lang_pred string, score double"
+    sent = keep if "text" in keep else (*keep, "text")  # the text goes to the workers once
+    own, text = [f"c{i}" for i in range(len(keep))], f"c{sent.index('text')}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(profiles, size)
-        for pdf in frames:
-            got = [ranker.predict(t) for t in pdf["t"]]
-            yield pdf.drop(columns="t").assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+        for pdf in slices(frames, text):
+            got = [ranker.predict(t) for t in pdf[text]]
+            yield pdf[own].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
 
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    return source.mapInPandas(run, f"{kinds}, {ours}" if kinds else ours).toDF(*keep, *names)
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sent)]).mapInPandas(run, f"{kinds}, {ours}" if kinds else ours).toDF(*keep, *names)
 
 
 def predict_documents(docs: DataFrame, size: int = 400, mod: int = 3, held: int = 1) -> DataFrame:

@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Integer scores and fixed ties make the exact search expressible.
+#: The two whose results are integers and strings by a closed rule; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
@@ -84,4 +84,18 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op10_repeated_windows": """
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT rid, k, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT rid, k, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+        m AS (SELECT s, min(k) AS least FROM w GROUP BY s),
+        c AS (SELECT rid, p, p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 50 IS NOT FALSE AS opens FROM w JOIN m USING (s) WHERE k > least),
+        r AS (SELECT rid, p, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY rid ORDER BY p) AS run FROM c),
+        spans AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY rid, run),
+        edges AS (SELECT rid, a, b FROM spans UNION ALL SELECT rid, length(h) // 2, NULL FROM d),
+        kept AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a, b NULLS LAST), 0) AS from_, a AS to_ FROM edges),
+        texts AS (SELECT d.rid, string_agg(substr(d.h, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY from_) AS h FROM kept JOIN d USING (rid) GROUP BY d.rid),
+        sums AS (SELECT rid, sum(b - a) AS gone, count(*) AS n FROM spans GROUP BY rid)
+        SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(t.h)) AS kept_sha256
+        FROM d JOIN texts t ON t.rid = d.rid LEFT JOIN sums ON sums.rid = d.rid""",
 }

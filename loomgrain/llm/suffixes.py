@@ -437,9 +437,10 @@ def _whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, keep: list[str], depth: Depth) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.join(spans_of(rows.select("key", "text_hash", "text"), depth), ["key", "text_hash"], "left")
+    """Columns ``keep`` as c_0, c_1, ..., the text (null or not) once, and its spans."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text", F.xxhash64(whole).alias("text_hash"))
+    return rows.join(spans_of(rows.select("key", "text_hash", F.coalesce("text", F.lit("")).alias("text")), depth), ["key", "text_hash"], "left")
 
 
 def removals(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
@@ -451,7 +452,7 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(frames):
-            raws = [utf8(t) for t in pdf["text"]]
+            raws = [utf8(t or "") for t in pdf["text"]]
             spans = [_all_spans(p) for p in pdf["spans"]]
             yield pd.DataFrame({
                 "doc_id": pdf["c_0"].astype("Int64"), "n_bytes": [len(r) for r in raws], "n_removed": [int((s[:, 1] - s[:, 0]).sum()) for s in spans],
@@ -466,20 +467,18 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
 
     Other columns are as they were.
     """
-    keep = docs.columns
+    others = [c for c in docs.columns if c != "text"]
     kinds = dict(docs.dtypes)
-    at = keep.index("text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(frames):
             texts = []
-            for old, text, spans in zip(pdf[f"c_{at}"], pdf["text"], pdf["spans"]):
-                if old is None or spans is None:
-                    texts.append(old)
-                else:
+            for text, spans in zip(pdf["text"], pdf["spans"]):
+                if text is not None and spans is not None:
                     raw = utf8(text)
-                    texts.append(_kept(raw, _whole_characters(raw, _all_spans(spans))).decode("utf-8", "surrogatepass"))
-            yield pdf[[f"c_{i}" for i in range(len(keep))]].assign(**{f"c_{at}": texts})
+                    text = _kept(raw, _whole_characters(raw, _all_spans(spans))).decode("utf-8", "surrogatepass")
+                texts.append(text)
+            yield pdf[[f"c_{i}" for i in range(len(others))]].assign(text=texts)
 
-    schema = ", ".join(f"c_{i} {kinds[c]}" for i, c in enumerate(keep))
-    return _with_spans(docs, keep, Depth(window, gram)).mapInPandas(run, schema).toDF(*keep)
+    schema = ", ".join([*(f"c_{i} {kinds[c]}" for i, c in enumerate(others)), "text string"])
+    return _with_spans(docs, others, Depth(window, gram)).mapInPandas(run, schema).toDF(*others, "text").select(*docs.columns)

@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from loomgrain.llm import kneser_ney, minhash, neighbours, packing, simhash, suffixes, unigram, vafile
+from loomgrain.llm import kneser_ney, minhash, neighbours, packing, queries, simhash, suffixes, unigram, vafile
 from loomgrain.llm.common import utf8
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -338,3 +339,16 @@ def test_deduplicate_keeps_columns_and_whole_characters(spark, messy):
     text = "é" * 60
     df = spark.createDataFrame([(1, text + "abc"), (2, "x" + text), (3, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in suffixes.deduplicate(df).collect()} == {1: text + "abc", 2: "x", 3: None}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    cur = c.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in cur.description]
+    df = queries.QUERIES[name](spark, folder)
+    assert sorted(columns) == sorted(df.columns)
+    assert Counter(map(tuple, df.select(columns).collect())) == Counter(cur.fetchall())
