@@ -34,20 +34,22 @@ def shape(word: str) -> str:
 
 
 class Grams:
-    """Hashed unigrams and bigrams of word shapes; a word that repeats the one before has a shape of its own."""
+    """Hashed unigrams and bigrams of lower-cased words and, beside them, of word shapes; a word that repeats the one before has a shape of its own."""
 
     def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.shapes = buckets, {}
+        self.buckets, self.known = buckets, {}
 
     def _codes(self, words: list[str], limit: int = 200_000) -> np.ndarray:
-        known = self.shapes
+        """A hash of each word, lower-cased, in the high half and one of its shape in the low half."""
+        known = self.known
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             if len(known) > limit:
                 known.clear()
             for w in set(words).difference(known):
-                known[w] = zlib.crc32(shape(w).encode("utf-8", "surrogatepass"))
+                word, form = (zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (w.lower(), shape(w)))
+                known[w] = word << 32 | form
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def of(self, text: str) -> np.ndarray:
@@ -56,10 +58,13 @@ class Grams:
         if not words:
             return np.zeros(0, np.int64)
         code = self._codes(words)
+        word, form = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
         same = np.fromiter(map(str.__eq__, words[1:], words), bool, len(words) - 1)
-        code[1:][same] ^= np.uint64(0xA5A5A5A5A5)
-        pair = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        both = np.concatenate([code * np.uint64(0xD6E8FEB86659FD93), pair])
+        form[1:][same] ^= np.uint64(0xA5A5A5A5A5)
+        grams = []
+        for c in (word ^ np.uint64(0x5BD1E995 << 32), form):  # a word and a shape of equal signs are not one gram
+            grams += [c * np.uint64(0xD6E8FEB86659FD93), c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)]
+        both = np.concatenate(grams)
         return ((both ^ (both >> np.uint64(32))) % np.uint64(self.buckets)).astype(np.int64)
 
 
