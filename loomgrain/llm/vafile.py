@@ -65,19 +65,31 @@ def search_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.nd
             yield own, best_id, best
 
 
+def scan_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The k best of one block for each query in 64-bit integers, every vector read: for components that doubles don't multiply exactly."""
+    v, q = v.astype(np.int64), q.astype(np.int64)
+    for own, query in zip(query_ids, q):
+        other = ids != own
+        score, named = v[other] @ query, ids[other]
+        rank = np.lexsort((named, -score))[:k]
+        yield own, named[rank], score[rank]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 6, block: int = 16_384, query_block: int = 2048, scale: int = 64) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k largest inner products over all rows but its own id.
 
     Rows and queries are dealt into blocks by id hash, and each pair of blocks is one task's work: a block of
     rows goes to every query block and the other way round, so memory is bounded by the two block sizes, and
     what a task returns is k rows a query. Copies of a (vec_id, vector) row count once. Vectors must share
-    one length; integer components must stay below 2**20 in size (else an error, never a rounded score).
+    one length. Where a component reaches 2**20 in size, all scores are integer sums without cells; scores must
+    fit 64 bits (else an error, never a rounded score).
     """
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, scale).distinct()
     facts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.min(F.size("v")).alias("short"), F.max(F.size("v")).alias("long")).first()
-    if facts["n"] and (facts["short"] != facts["long"] or facts["long"] > 4096 or max(-facts["low"], facts["high"]) >= SAFE):
-        raise ValueError("vectors must share one length of at most 4096 and have components below 2**20 in size")
+    largest = max(-facts["low"], facts["high"]) if facts["n"] else 0
+    if facts["n"] and (facts["short"] != facts["long"] or facts["long"] > 4096 or int(largest) ** 2 * facts["long"] >= 2**63):
+        raise ValueError("vectors must share one length of at most 4096 and have inner products of 64 bits")
     n_rows, n_queries = -(-max(facts["n"], 1) // block), -(-max(facts["q"], 1) // query_block)
     cells = Cells(facts["low"] or 0.0, facts["high"] or 0.0, bits)
     rows = rows.withColumn("h", F.xxhash64("vec_id", "v"))
@@ -88,7 +100,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 6, bloc
         if not len(data) or not len(asked):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         ids, v = data["vec_id"].to_numpy(np.int64), np.stack(data["v"].to_numpy())
-        got = list(search_block(ids, v, asked["vec_id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy()), k, cells))
+        query_ids, q = asked["vec_id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy())
+        got = list(search_block(ids, v, query_ids, q, k, cells) if largest < SAFE else scan_block(ids, v, query_ids, q, k))
         return pd.DataFrame({
             "query_id": np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got]),
             "vec_id": np.concatenate([g[1] for g in got]).astype(np.int64),
