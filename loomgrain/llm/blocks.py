@@ -52,6 +52,39 @@ def local_folder(spark: SparkSession, label: str) -> str:
     return folder
 
 
+def fill_absent(folder: str, shards: int, written: set[int], *arrays: tuple[str, np.ndarray]) -> None:
+    """Leave empty arrays (``{}`` in a name is the shard) for shards that got no rows, so that a file that isn't there is always an error."""
+    for s in set(range(shards)) - written:
+        for name, x in arrays:
+            save(folder, name.format(s), x)
+
+
+class Mapped:
+    """The arrays of a folder, memory-mapped when first asked for. A missing file raises: every shard leaves one."""
+
+    def __init__(self, folder: str, most: int = 4000):
+        self.folder, self.most, self.open = folder, most, {}
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.open:
+            if len(self.open) > self.most:
+                self.open.clear()
+            path = f"{self.folder}/{name}.npy"
+            try:
+                self.open[name] = np.load(path, mmap_mode="r")
+            except ValueError:  # an empty array can't be mapped
+                self.open[name] = np.load(path)
+        return self.open[name]
+
+
+def places_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted value in the sorted ``keys``, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def rows_of(parts: Iterator[tuple], at_once: int = 400, columns: tuple[str, ...] = ("shard", "a", "b", "n")) -> Iterator[pd.DataFrame]:
     held = []
     for part in parts:
