@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import slices
+from loomgrain.llm.common import fresh, slices
 from loomgrain.llm.labelled import labelled_sample
 from loomgrain.operators.selection import threshold_of_top
 from loomgrain.operators.shared import written
@@ -158,8 +158,9 @@ def select_documents(docs: DataFrame, labels: DataFrame, sample: int = 12_000, b
     for the choice, so no text is shuffled or kept.
     """
     ratio, cut = fit_ratio(docs, labelled_sample(docs, labels, "quality", None, sample), buckets)
-    noise = gumbel(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("_weight"), seed=seed)
-    weighed = weigh(docs, ratio, tuple(docs.columns), "_weight").withColumn("_gumbel", F.col("_weight") + noise)
-    keys = written(weighed.select("_weight", "_gumbel"), "weights")
-    k = keys.where(F.col("_weight") >= cut).count()
-    return weighed.where(F.col("_gumbel") >= threshold_of_top(keys, "_gumbel", k)).select(*docs.columns)
+    weight, key = fresh(docs, "weight", "gumbel_key")
+    noise = gumbel(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(weight), seed=seed)
+    weighed = weigh(docs, ratio, tuple(docs.columns), weight).withColumn(key, F.col(weight) + noise)
+    keys = written(weighed.select(F.col(weight).alias("weight"), F.col(key).alias("gumbel_key")), "weights")
+    k = keys.where(F.col("weight") >= cut).count()
+    return weighed.where(F.col(key) >= threshold_of_top(keys, "gumbel_key", k)).select(*docs.columns)
