@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.operators.shared import cut_lineage
+from loomgrain.operators.shared import settled
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(src, dst)`` of any orderable type -> ``(node, component)``, component = least node reachable.
 
     Alternating large-star / small-star rewiring: the number of rounds grows with the logarithm of the
-    longest chain, every round is two shuffles of the current edges, and each round's edges are cut from
-    the lineage with a reliable checkpoint. Self loops give components of one node; nulls are ignored;
+    longest chain, every round is two shuffles of the current edges, and each round's edges are written to
+    the shared folder once and read on from there. Self loops give components of one node; nulls are ignored;
     repeated and reversed edges count once. A star's hub may hold any share of the edges: the hub's
     neighbours are reduced with a partially aggregated ``min`` joined back, never gathered in a list.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u is not null and v is not null")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    cur = cut_lineage(_directed(e.where("u <> v")).distinct())
+    cur = settled(_directed(e.where("u <> v")).distinct())
     before = _signature(cur)
     if not before[0]:
         return nodes.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
-        cur = cut_lineage(_small_star(_large_star(cur)))
+        cur = settled(_small_star(_large_star(cur)))
         now = _signature(cur)
         if now == before:
             break
@@ -63,17 +63,20 @@ def _small_star(e: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(node, depth)``: nodes of ``edges(src, dst)`` at the end of a path from ``roots(node)``, roots at depth 0.
 
-    A frontier join for each step; what was seen is anti-joined, so cycles end.
+    A frontier join for each step; what was seen is anti-joined, so cycles end. A step writes its own frontier only:
+    what was seen is the union of the frontiers, read side by side.
     """
-    edges = edges.where("src is not null and dst is not null").distinct()
-    seen = cut_lineage(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    edges = settled(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    frontier = settled(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
     for depth in range(1, max_rounds + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = settled(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if depth % 32 == 0:  # plans stay short on long chains
+            seen = settled(seen)
     raise RuntimeError(f"the frontier is not empty after {max_rounds} rounds")
 
 
@@ -83,7 +86,7 @@ def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
     Paths double in length with every round: a path is joined to the path that begins where it ends.
     """
     succ = successor.where("node is not null").groupBy("node").agg(F.min("next").alias("next"))
-    paths = cut_lineage(succ.select("node", F.array("node").alias("path"), "next"))
+    paths = settled(succ.select("node", F.array("node").alias("path"), "next"))
     for _ in range(max_rounds):
         if paths.where("next is not null").isEmpty():
             break
@@ -95,7 +98,7 @@ def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
             F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path", _until_repeat(F.col("path"), F.col("t_path")))).alias("path"),
             F.when(F.col("t").isNotNull() & whole, F.col("t_next")).alias("next"),
         )
-        paths = cut_lineage(out)
+        paths = settled(out)
     return paths.select("node", "path")
 
 
