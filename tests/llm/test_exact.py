@@ -138,10 +138,11 @@ def test_top_k_equals_brute_force(spark):
 # packing
 
 
-def test_packing_keeps_every_token_in_place(messy, nothing):
+def test_packing_keeps_every_token_in_place(spark, messy, nothing):
+    marks = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  ", " <|endoftext|>\n", "<|endoftext", "日本語 <|endoftext|> テ", "a\x00b"]
+    messy = messy.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(marks, 100)), "doc_id long, text string"))
     got = packing.pack(messy).collect()
     hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    hf.encode_special_tokens = True
     pieces = Counter()
     for i, t in rows(messy):
         ids = np.array([*hf.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -162,6 +163,14 @@ def test_packing_keeps_every_token_in_place(messy, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_ids_of_whole_tables_are_the_tokenizer_library_s(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hf, ours = Tokenizer.from_file(path), packing.encoder(path)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, theirs in zip(texts, hf.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ours.encode(text, allowed_special="all") == theirs.ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_the_histogram_tightly(seed):
     rng = np.random.default_rng(seed)
