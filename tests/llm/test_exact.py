@@ -115,11 +115,24 @@ def test_fingerprints_keep_repeated_and_null_ids(messy):
 # exact search
 
 
+def by_sql(df):
+    """The registered SQL over ``df``."""
+    embeddings = df.select("vec_id", "embedding").toPandas()
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        con.executemany("INSERT INTO embeddings VALUES (?, ?)", [(None if i is None or i != i else int(i), None if v is None else [None if x is None else float(x) for x in v]) for i, v in zip(embeddings["vec_id"], embeddings["embedding"])])
+        return sorted(con.execute(queries.ORACLE_SQL["op3_exact_top_k"]).fetchall())
+
+
+def found_by(df, **options):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.top_k(df, F.col("vec_id") % 20 == 0, k=20, **options).collect())
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 340)]
     bad = [(900, None), (901, [float("nan")] * 8), (902, [None] + [1.0] * 7), (None, [1.0] * 8), (903, [float("inf")] * 8), (904, [])]
-    df = spark.createDataFrame(vectors + vectors[:3] + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("v", F.lit(2))
+    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("v", F.lit(2)).withColumn("asks", F.lit(False))
     got = {}
     for r in vafile.top_k(df, F.col("vec_id") % 20 == 0, k=20, block=64, query_block=7).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -130,9 +143,48 @@ def test_top_k_equals_brute_force(spark):
     assert len(got) == 17
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>")
     assert vafile.top_k(few, F.col("vec_id") == 0).count() == 2
+    assert vafile.top_k(few, F.col("vec_id") == 77).count() == 0
     assert vafile.top_k(few.limit(0), F.col("vec_id") == 0).count() == 0
-    with pytest.raises(ValueError):
-        vafile.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 1)
+
+
+def test_top_k_keeps_repeated_rows_and_uneven_vectors_as_its_sql_does(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(int(i), [float(x) for x in rng.integers(-2, 3, size=6) / 8]) for i in rng.integers(0, 90, size=160)]  # ids and vectors repeat, scores tie
+    vectors += vectors[:40] + [(20, [0.25] * 6)] * 30 + [(7, [0.25] * 6)] * 25 + [(40, [0.0] * 6), (61, [1.0]), (62, [9.0] * 9), (60, [0.5, 0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
+    assert found_by(df, block=16, query_block=4) == by_sql(df)
+    three = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (2, [1.0])], "vec_id long, embedding array<float>")
+    assert found_by(three) == by_sql(three) == [(0, 1, 1, 4096), (0, 2, 1, 4096), (0, 3, 2, 4096)]
+
+
+def test_top_k_reads_ties_in_rounds(spark):
+    """A query of zeros ties with every row; the room for bounds is far smaller than that."""
+    ids, q = np.array([3]), np.zeros((1, 4))
+    v = np.arange(4000.0).reshape(-1, 4)
+    files = {"exact-0": v, "ends-0": np.arange(1, 1001), "ids-0": np.arange(2000, 1000, -1), "exact-1": v, "ends-1": np.arange(1, 1001), "ids-1": np.arange(1000)}
+    cells = vafile.Cells(v.min(axis=0), v.max(axis=0))
+    search = vafile.Search(files, cells, ids, q, 5, room=100)
+    for b in (0, 1):
+        search.scan(b, cells.codes(v).astype(float), files[f"ids-{b}"], files[f"ids-{b}"])
+    search.settle()
+    assert search.found[0] == [(0.0, 0), (0.0, 1), (0.0, 2), (0.0, 4), (0.0, 5)]
+
+
+@pytest.mark.parametrize("size", [1e3, 1e9, 1e200])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(size=5) * size]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], x)), i) for i, x in ints.items() if i != q)[:20]
+        want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    got = found_by(df, block=16, query_block=2)
+    if size < 1e100:
+        assert got == want
+    else:  # scores past 64 bits are all the ends of the range
+        assert [(g[0], g[3]) for g in got] == [(w[0], w[3]) for w in want]
 
 
 # packing
