@@ -8,12 +8,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.llm.common import lower_ascii, slices, texts, utf8
 from loomgrain.operators.graph import connected_components
-from loomgrain.operators.shared import cut_lineage, written
+from loomgrain.operators.shared import settled, written
 
 SEED = 42
 
@@ -49,48 +49,46 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: in
     return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, f"{kinds}, fp long")
 
 
-def _byte(fp: Column, position: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
+#: Sets of four byte positions whose numbers cancel out under exclusive or: 14 sets, any three positions in exactly one of them.
+LISTS = tuple(p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """The tally of a pair: positions at which both fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(_byte(x, i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
+def least_matches(bits: int) -> int:
+    """Of the lists, how many two fingerprints share at least that differ in so many bits."""
+    return min(sum(not set(p) & set(damaged) for p in LISTS) for damaged in combinations(range(8), bits))
 
 
 def links(distinct: DataFrame, bits: int = 2, crowded: int = 64) -> DataFrame:
     """Edges ``(src, dst)`` among ``distinct(fp)`` whose components are those of all pairs at most ``bits`` apart.
 
-    Two fingerprints that differ in at most ``bits`` bits share at least 8 - ``bits`` of their positional
-    bytes. Byte positions are taken in bits + 2 groups; a pair that shares that many bytes shares all bytes
-    of some choice of two groups, so the index has one posting list for each choice and its bytes' values:
-    a posting is (positions, bytes), never a single byte, whose list would hold a 256th of all rows.
-    Within a list, pairs tally their shared bytes, keep those that reach the guaranteed count, and are
-    verified bit by bit. A list of more than ``crowded`` fingerprints is not paired: its members meet at
-    midpoints instead (the fingerprint itself and each one-bit change outside the list's bytes; two members
-    at most 2 apart share one, and no others do), each linked to the least that has the midpoint. So a list
-    costs its length times 1 + free bits at most, whatever its length, and no link is lost.
+    The inverted index has a posting for each fingerprint and each of 14 sets of four byte positions, under the bytes
+    there: a list for a single byte would hold a 256th of all rows, one for four holds those that share 32 bits. Any
+    three positions lie in one set, so the lists that a pair shares tell how many positional bytes it shares: 14
+    lists are 8 bytes, 7 are 7, 3 are 6, and fewer are at most 5. Two fingerprints 2 bits apart share at least 6
+    bytes: pairs are tallied over the lists, those that reach 3 are retained and verified bit by bit.
+    Members of a list of more than ``crowded`` are not paired: they meet at midpoints (the fingerprint itself and each
+    one-bit change; two at most 2 bits apart share one, and no others do), each linked to the least that has the
+    midpoint. A pair whose lists are all short reaches its tally, a pair with a crowded list meets at a midpoint, so no
+    link is lost and a list costs at most 65 rows a member, whatever its length.
     """
     if bits != 2:
         raise ValueError("midpoints give distance 2")
     fp = F.col("fp")
-    groups = [(0, 1), (2, 3), (4, 5), (6, 7)]
-    masks = [sum(255 << (8 * p) for p in (*a, *b)) for a, b in combinations(groups, 2)]
+    masks = [sum(255 << (8 * p) for p in positions) for positions in LISTS]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), fp.bitwiseAND(F.lit(m)).alias("key"), F.lit(m).alias("mask")) for i, m in enumerate(signed)]))
-    postings = distinct.select("fp", keys.alias("p")).select("fp", "p.list", "p.key", "p.mask")
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
+    postings = distinct.select("fp", keys.alias("p")).select("fp", "p.list", "p.key")
     sizes = postings.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1")
-    postings = cut_lineage(postings.join(sizes, ["list", "key"]))
+    postings = settled(postings.join(sizes, ["list", "key"]))
 
     few = postings.where(F.col("n") <= crowded)
     a, b = few.select("list", "key", F.col("fp").alias("src")), few.select("list", "key", F.col("fp").alias("dst"))
+    tally = a.join(b, ["list", "key"]).where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.count("*").alias("shared"))
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits
-    pairs = a.join(b, ["list", "key"]).where(F.col("src") < F.col("dst")).where(shared_bytes(F.col("src"), F.col("dst")) >= 8 - bits).where(near)
+    pairs = tally.where(F.col("shared") >= least_matches(bits)).where(near)
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(2**63)).cast("long") for i in range(64)])
-    free = F.filter(flips, lambda m: m.bitwiseAND(F.col("mask")) == 0)
-    many = postings.where(F.col("n") > crowded).select("fp", F.explode(F.transform(free, lambda m: fp.bitwiseXOR(m))).alias("mid"))
+    many = postings.where(F.col("n") > crowded).select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: fp.bitwiseXOR(m))).alias("mid"))
     least = many.groupBy("mid").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("mid", "least")
     meet = many.join(least, "mid").where(F.col("fp") > F.col("least")).select(F.col("least").alias("src"), F.col("fp").alias("dst"))
     return pairs.select("src", "dst").union(meet).distinct()
@@ -101,7 +99,7 @@ def components(marked: DataFrame, bits: int = 2) -> DataFrame:
 
     Equal fingerprints are one node, so a group of copies of any size is one row here.
     """
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    nodes = settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     root = connected_components(links(nodes.select("fp"), bits))
     joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -112,7 +110,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     """``(doc_id, fingerprint, component_id)`` for every document.
 
     Texts without words (null texts too) have fingerprint zero and are linked like any other. A null id
-    never names a component unless the component has no other; repeated rows stay repeated.
+    never names a component unless the component has no other; repeated rows stay repeated. Texts of any length are
+    hashed whole; other columns are ignored; an empty table gives an empty result.
     """
     marked = written(fingerprints(texts(docs), ("doc_id",), words), "simhash")
     found = components(marked, bits)

@@ -356,6 +356,14 @@ def test_links_lose_nothing(spark, crowded):
     assert sorted(ours.values()) == sorted(Counter(top(v) for v in signed).values())
 
 
+def test_shared_lists_tell_shared_bytes():
+    assert len(simhash.LISTS) == 14 and simhash.least_matches(2) == 3
+    for k in range(9):
+        for kept in itertools.combinations(range(8), k):
+            shared = sum(set(p) <= set(kept) for p in simhash.LISTS)
+            assert shared == {8: 14, 7: 7, 6: 3}[k] if k >= 6 else shared <= 1
+
+
 def test_one_of_each_near_copy_stays(messy, nothing):
     kept = neighbours.keep_one_of_each(messy)
     assert kept.columns == messy.columns
