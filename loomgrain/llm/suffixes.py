@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,24 +11,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.blocks import local_folder, opened, rows_of, save, shard_of, squeezed
+from loomgrain.llm.blocks import Mapped, fill_absent, local_folder, opened, places_in, rows_of, save, shard_of, squeezed
 from loomgrain.llm.common import U64, mix64, slices, utf8
 
 REMOVAL_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _COLUMNS = ("shard", "kind", "doc", "at", "more")
 _BLOCKS = "shard int, kind int, doc binary, at binary, more binary"
 _SPANS, _CONTEXTS, _WINDOWS = 0, 1, 2
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 CHUNK = 400_000  # characters whose hashes are held at once, eight bytes each in several arrays
 LAST = 2**63 - 1  # a null id's place in the order
 
 
-def _power(n: int) -> np.uint64:
-    return U64(pow(_BASE, n, 2**64))
+def rolling(x: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
+    """Polynomial hashes of all ``n`` bytes in a row along the last axis, built by doubling."""
 
+    def _power(n: int) -> np.uint64:
+        return U64(pow(base, n, 2**64))
 
-def rolling(x: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of all ``n`` bytes in a row along the last axis, built by doubling."""
     out, have = None, 0
     piece, size = x.astype(U64) + U64(1), 1
     while True:
@@ -139,7 +139,7 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
 
         for pdf in frames:
             for s, h, n in zip(pdf["shard"], pdf["h"], pdf["n"], strict=True):
-                shard = s
+                shard = int(s)
                 hs.append(opened(h, "<u8", True))
                 ns.append(opened(n, "<u4").astype(np.int64))
                 pending += len(hs[-1])
@@ -150,39 +150,22 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
             h, n = merged()
             save(folder, f"repeated-{shard}", h[n > 1])
             save(folder, f"crowded-{shard}", h[n > crowd])
-            yield pd.DataFrame({"n": [int((n > 1).sum())]})
+            yield pd.DataFrame({"shard": [shard]})
 
     grams = docs.select("text").mapInPandas(count, "shard int, h binary, n binary").repartitionById(shards, F.col("shard"))
-    grams.mapInPandas(merge, "n long").agg(F.sum("n")).first()
-
-
-class Known:
-    """Lookups in the first pass's memory-mapped arrays."""
-
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self.open = folder, shards, {}
-
-    def _get(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            if len(self.open) > 4000:
-                self.open.clear()
-            try:
-                self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
-            except FileNotFoundError:
-                self.open[name] = np.zeros(0, U64)
-            except ValueError:  # an empty array can't be mapped
-                self.open[name] = np.load(f"{self.folder}/{name}.npy")
-        return self.open[name]
-
-    def has(self, name: str, h: np.ndarray) -> np.ndarray:
-        order = np.argsort(h, kind="stable")
-        q, found = h[order], np.zeros(len(h), bool)
-        ends = np.searchsorted(shard_of(q, self.shards), np.arange(self.shards + 1))
-        for s in np.nonzero(np.diff(ends))[0]:
-            keys, part = self._get(f"{name}-{s}"), q[ends[s] : ends[s + 1]]
-            if len(keys):
-                found[order[ends[s] : ends[s + 1]]] = keys[np.minimum(np.searchsorted(keys, part), len(keys) - 1)] == part
-        return found
+    done = {r["shard"] for r in grams.mapInPandas(merge, "shard int").collect()}  # a row for each shard
+    fill_absent(folder, shards, done, ("repeated-{}", np.zeros(0, U64)), ("crowded-{}", np.zeros(0, U64)))
+
+
+def known(arrays: Mapped, shards: int, name: str, h: np.ndarray) -> np.ndarray:
+    """Which hashes are in the first pass's arrays."""
+    order = np.argsort(h, kind="stable")
+    q, found = h[order], np.zeros(len(h), bool)
+    ends = np.searchsorted(shard_of(q, shards), np.arange(shards + 1))
+    for s in np.nonzero(np.diff(ends))[0]:
+        own = order[ends[s] : ends[s + 1]]
+        found[own] = places_in(arrays[f"{name}-{s}"], h[own])[1]
+    return found
 
 
 @dataclass
@@ -211,34 +194,63 @@ class Entries:
         j = np.arange(depth.slack + 1)
         return (j <= self.left[:, None]) & (depth.window - j <= self.right[:, None])
 
-    def window_hashes(self, depth: Depth) -> np.ndarray:
-        return rolling(self.context, depth.window)[:, depth.slack :: -1]
+    def window_hashes(self, depth: Depth, base: int) -> np.ndarray:
+        return mix64(rolling(self.context, depth.window, base)[:, depth.slack :: -1])
 
     def span(self, j_most: np.ndarray, j_least: np.ndarray, depth: Depth) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows that hold one gram overlap, so what several cover is one span."""
         return self.doc, self.text, self.at - j_most, self.at - j_least + depth.window
 
 
-def _first_of_equal(key: np.ndarray, doc: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, the number of a row with an equal key and the least ``doc``; and whether it is truly equal."""
-    order = np.lexsort((doc, key))
-    k = key[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    head = np.empty(len(k), np.int64)
+def _first_of_equal(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """For each row, the number of a row with equal keys and the least ``doc``."""
+    order = np.lexsort((doc, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    head = np.empty(len(order), np.int64)
     head[order] = order[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    return head, np.ones(len(k), bool) if same is None else same(head, np.arange(len(k)))
+    return head
+
+
+def radix_order(suffix: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in order of group and bytes, how many bytes each shares with the row before it; -1 where a group begins).
+
+    Most significant digit first, eight bytes a digit: a pass orders the rows of each class by their next digit and
+    splits the class where digits differ. A class of one row is in its place and takes no part in later passes.
+    """
+    n, width = suffix.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = suffix
+    digits = padded.view(">u8").astype(U64)
+    order = np.argsort(group, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = group[order[1:]] != group[order[:-1]]
+    shared = np.where(new, -1, width)
+    for d in range(digits.shape[1]):
+        of = np.cumsum(new) - 1
+        live = np.nonzero(np.bincount(of)[of] > 1)[0]
+        if not len(live):
+            break
+        digit, own = digits[order[live], d], of[live]
+        by = np.lexsort((digit, own))
+        order[live], digit = order[live[by]], digit[by]
+        apart = digit[1:] ^ digit[:-1]
+        cut = np.nonzero((own[1:] == own[:-1]) & (apart != 0))[0]
+        new[live[cut + 1]] = True
+        shared[live[cut + 1]] = 8 * d + sum((apart[cut] < U64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+    return order, shared
 
 
 def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> DataFrame:
     """Blocks of entries for the shard of their gram's hash, windows for the shard of theirs, spans for their text's.
 
     Entries with equal bytes around them meet in their own task first: only the least document's travel, the
-    others are covered already. Windows round a crowded gram travel one by one, the least document's only.
+    others are covered already. Windows round a crowded gram travel one by one, the least document's only, under two
+    independent 64-bit hashes of their bytes. Spans of one text that touch travel as one.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, pending = Known(folder, shards), [], 0
+        arrays, held, pending = Mapped(folder), [], 0
 
         def blocks() -> Iterator[tuple]:
             e = Entries.join(held)
@@ -252,11 +264,12 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
             key = e.left.astype(U64) << U64(32) | e.right.astype(U64)
             for column in words.view(U64).T:
                 key = mix64(key * U64(_BASE) + column)
-            head, equal = _first_of_equal(key, e.doc, lambda a, b: (e.context[a] == e.context[b]).all(axis=1) & (e.left[a] == e.left[b]) & (e.right[a] == e.right[b]))
+            head = _first_of_equal([key], e.doc)
+            equal = (e.context == e.context[head]).all(axis=1) & (e.left == e.left[head]) & (e.right == e.right[head])
             done = equal & (e.doc > e.doc[head])
             spans = [_extent(e.pick(np.nonzero(done)[0]), None, depth)]
             e = e.pick(np.nonzero(~done)[0])
-            crowded = known.has("crowded", e.h)
+            crowded = known(arrays, shards, "crowded", e.h)
             if crowded.any():
                 yield from single_windows(e.pick(np.nonzero(crowded)[0]), spans)
                 e = e.pick(np.nonzero(~crowded)[0])
@@ -272,9 +285,8 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
             for lo in range(0, len(e.doc), 20_000):
                 x = e.pick(np.arange(lo, min(lo + 20_000, len(e.doc))))
                 r, j = np.nonzero(x.windows(depth))
-                w = x.window_hashes(depth)[r, j]
-                first, second = mix64(w), mix64(w ^ mix64(x.h[r] + U64(1)))
-                head, _ = _first_of_equal(second, x.doc[r])
+                first, second = (x.window_hashes(depth, base)[r, j] for base in (_BASE, _OTHER_BASE))
+                head = _first_of_equal([second, first], x.doc[r])
                 done = x.doc[r] > x.doc[r][head]
                 start = x.at[r] - j
                 spans.append((x.doc[r][done], x.text[r][done], start[done], start[done] + depth.window))
@@ -284,12 +296,12 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
                 ends = np.searchsorted(np.sort(shard), np.arange(shards + 1))
                 for s in np.nonzero(np.diff(ends))[0]:
                     i = order[ends[s] : ends[s + 1]]
-                    yield (int(s), _WINDOWS, squeezed(np.concatenate([x.doc[r[i]].view(U64), x.text[r[i]].view(U64)])), squeezed(start[i].view(U64)), squeezed(second[i]))
+                    yield (int(s), _WINDOWS, squeezed(np.concatenate([x.doc[r[i]].view(U64), x.text[r[i]].view(U64)])), squeezed(start[i].view(U64)), squeezed(np.concatenate([first[i], second[i]])))
 
         def span_blocks(spans: list) -> Iterator[tuple]:
-            doc, text, start, end = (np.concatenate(c) for c in zip(*spans, strict=True))
-            shard = shard_of(mix64(text.view(U64)), shards)
-            order = np.lexsort((start, doc, shard))
+            doc, text, start, end = _joined(*(np.concatenate(c) for c in zip(*spans, strict=True)))
+            shard = _place_of(doc, text, shards)
+            order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.nonzero(np.diff(ends))[0]:
                 i = order[ends[s] : ends[s + 1]]
@@ -297,7 +309,7 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
 
         for pdf in slices(frames, limit=CHUNK):
             joined, begin, at, h = anchors_of([utf8(t) for t in pdf["text"]], depth)
-            hit = np.nonzero(known.has("repeated", h))[0]
+            hit = np.nonzero(known(arrays, shards, "repeated", h))[0]
             at, h = at[hit], h[hit]
             own = np.searchsorted(begin, at, side="right") - 1
             size = np.array([len(utf8(t)) for t in pdf["text"]], np.int64)
@@ -325,24 +337,43 @@ def _extent(e: Entries, covered: np.ndarray | None, depth: Depth) -> tuple[np.nd
 
 
 def covered_windows(e: Entries, depth: Depth) -> np.ndarray:
-    """Which windows of entries, sorted by gram, also begin in a document of a smaller id."""
-    ok = e.windows(depth)
-    group = np.cumsum(np.concatenate([[0], (e.h[1:] != e.h[:-1]).astype(np.int64)])) if len(e.h) else np.zeros(0, np.int64)
-    r, j = np.nonzero(ok)
-    # the gram's offset is part of the key: windows round one gram are equal only at equal offsets
-    key = mix64(e.window_hashes(depth)[r, j] ^ mix64(group[r].astype(U64) * U64(64 + depth.slack) + j.astype(U64)))
-    head, same = _first_of_equal(key, e.doc[r], lambda a, b: (group[r[a]] == group[r[b]]) & (j[a] == j[b]))
+    """Which windows of entries, sorted by gram, also begin in a document of a smaller id.
+
+    The bytes from the gram on are put in order through the window's end, and so are those before it, read backwards.
+    Neighbours in either order tell how many bytes they share, so rows are of one class at a depth if no pair of
+    neighbours between them shares less. The window that begins j bytes before the gram is equal in two rows if they
+    are of one class j bytes to the left and window - j bytes to the right: bytes decide, a hash only brought them here.
+    """
+    ok, n = e.windows(depth), len(e.h)
+    group = np.cumsum(np.concatenate([[0], (e.h[1:] != e.h[:-1]).astype(np.int64)])) if n else np.zeros(0, np.int64)
+    right, right_shared = radix_order(e.context[:, depth.slack :], group)
+    left, left_shared = radix_order(e.context[:, : depth.slack][:, ::-1], group)
+
+    def classes(order: np.ndarray, shared: np.ndarray, at_least: int) -> np.ndarray:
+        out = np.empty(n, np.int64)
+        out[order] = np.cumsum(shared < at_least)
+        return out
+
     out = np.zeros(ok.shape, bool)
-    out[r, j] = same & (e.doc[r] > e.doc[r][head])
+    for j in range(depth.slack + 1):
+        r = np.nonzero(ok[:, j])[0]
+        both = classes(right, right_shared, depth.window - j)[r] * (n + 1) + classes(left, left_shared, j)[r]
+        out[r, j] = e.doc[r] > e.doc[r][_first_of_equal([both], e.doc[r])]
     return out
 
 
+def _place_of(doc: np.ndarray, text: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a document's spans: copies of one text are dealt over all."""
+    return shard_of(mix64(text.view(U64) ^ mix64(doc.view(U64))), shards)
+
+
 def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
     """``(key, text_hash, spans)`` of texts with bytes to remove; spans are pairs of long, in order, none touching.
 
-    ``docs(key, text_hash, text)``: ``key`` orders the documents. Most significant digits first: the first
-    pass sorts one gram of each window and drops the grams of one document; the second sorts what is left
-    through the window's end. The groups of equal windows are exactly the repeated ones.
+    ``docs(key, text_hash, text)``: ``key`` orders the documents. Suffixes are taken at one gram of each window, which
+    one depends on the window's bytes alone. The first pass brings equal grams together and drops those of one
+    document; then what is left is put in order through the window's end, eight bytes a pass. The groups of equal
+    windows are exactly the repeated ones.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -361,7 +392,7 @@ def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
                     p, sides, h = opened(at, "<u8").reshape(3, -1)
                     entries.append(Entries(d, t, p.astype(np.int64), (sides >> U64(32)).astype(np.int64), (sides & U64(0xFFFFFFFF)).astype(np.int64), h, opened(more, "|u1").reshape(len(d), -1)))
                 else:
-                    windows.append((d, t, opened(at, "<i8"), opened(more, "<u8")))
+                    windows.append((d, t, opened(at, "<i8"), *opened(more, "<u8").reshape(2, -1)))
         if entries:
             e = Entries.join(entries)
             entries.clear()
@@ -375,14 +406,13 @@ def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
                 spans.append(_extent(part, covered_windows(part, depth), depth))
                 lo = hi
         if windows:
-            d, t, start, w = (np.concatenate(c) for c in zip(*windows, strict=True))
-            head, _ = _first_of_equal(w, d)
-            done = d > d[head]
+            d, t, start, first, second = (np.concatenate(c) for c in zip(*windows, strict=True))
+            done = d > d[_first_of_equal([second, first], d)]
             spans.append((d[done], t[done], start[done], start[done] + depth.window))
         if spans:
-            d, t, a, b = (np.concatenate(c) for c in zip(*spans, strict=True))
-            to = shard_of(mix64(t.view(U64)), parts)
-            order = np.lexsort((a, t, d, to))
+            d, t, a, b = _joined(*(np.concatenate(c) for c in zip(*spans, strict=True)))
+            to = _place_of(d, t, parts)
+            order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(parts + 1))
             blobs = ((int(s), squeezed(np.concatenate([d[i], t[i]]).view(U64)), squeezed(np.concatenate([a[i], b[i]]).view(U64))) for s in np.nonzero(np.diff(ends))[0] for i in (order[ends[s] : ends[s + 1]],))
             yield from rows_of(blobs, columns=("shard", "doc", "at"))
@@ -391,28 +421,30 @@ def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
         held = [(*opened(doc, "<i8").reshape(2, -1), *opened(at, "<i8").reshape(2, -1)) for pdf in frames for doc, at in zip(pdf["doc"], pdf["at"], strict=True)]
         if not held:
             return
-        d, t, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((a, t, d))
-        d, t, a, b = d[order], t[order], a[order], b[order]
+        d, t, a, b = _joined(*(np.concatenate(c) for c in zip(*held, strict=True)))
         first = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))[0]
-        ends = np.append(first[1:], len(d))
+        ends, spans = np.append(first[1:], len(d)), np.stack([a, b], axis=1)
         for lo in range(0, len(first), 5000):
             i = range(lo, min(lo + 5000, len(first)))
-            yield pd.DataFrame({"key": d[first[lo : lo + 5000]], "text_hash": t[first[lo : lo + 5000]], "spans": [_joined(a[first[x] : ends[x]], b[first[x] : ends[x]]).tobytes() for x in i]})
+            yield pd.DataFrame({"key": d[first[lo : lo + 5000]], "text_hash": t[first[lo : lo + 5000]], "spans": [spans[first[x] : ends[x]].tobytes() for x in i]})
 
     blocks = second_pass(docs, depth, folder, shards).repartitionById(shards, F.col("shard"))
     found = blocks.mapInPandas(merge, "shard int, doc binary, at binary").repartitionById(parts, F.col("shard"))
     return found.mapInPandas(by_text, "key long, text_hash long, spans binary")
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spans sorted by start, those that touch made one; rows of (start, end)."""
+def _joined(doc: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans in order of document, text and start; those of one text that touch are made one."""
+    order = np.lexsort((a, text, doc))
+    doc, text, a, b = doc[order], text[order], a[order], b[order]
     if not len(a):
-        return np.zeros((0, 2), np.int64)
-    reach = np.maximum.accumulate(b)
-    new = np.concatenate([[True], a[1:] > reach[:-1]])
-    at = np.nonzero(new)[0]
-    return np.stack([a[at], reach[np.append(at[1:], len(a)) - 1]], axis=1).astype(np.int64)
+        return doc, text, a, b
+    own = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    far = (np.cumsum(own) - 1) * (int(b.max()) + 2)  # so that no span reaches the next text's
+    reach = np.maximum.accumulate(b + far)
+    at = np.nonzero(np.concatenate([[True], (a + far)[1:] > reach[:-1]]))[0]
+    last = np.append(at[1:], len(a)) - 1
+    return doc[at], text[at], a[at], (reach - far)[last]
 
 
 def _all_spans(spans: bytes | None) -> np.ndarray:
@@ -447,7 +479,8 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
     """What goes from each text, as UTF-8 bytes (null: empty): every byte that a repeated window covers.
 
     A window is repeated if it also begins in a document of a smaller id, overlaps included, judged on the
-    input. Null ids come after all others; rows that share an id don't count as smaller for one another.
+    input. Null ids come after all others; rows that share an id don't count as smaller for one another. Texts of any
+    length are read whole; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

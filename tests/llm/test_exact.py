@@ -397,11 +397,29 @@ def plain_removal(docs, window):
 @pytest.mark.parametrize("crowd", [0, 8000])
 def test_removals_equal_brute_force(messy, nothing, crowd, monkeypatch):
     monkeypatch.setattr(suffixes.spans_of, "__defaults__", (crowd,))
-    docs = messy.where("doc_id is null or doc_id <> 9")
+    long = messy.where("doc_id = 9").withColumns({"doc_id": F.lit(20).cast("long"), "text": F.concat(F.substring("text", 60_001, 200), F.lit("~"), F.substring("text", 1, 90_000))})
+    docs = messy.union(long)
     assert Counter(tuple(r) for r in suffixes.removals(docs).collect()) == plain_removal(rows(docs), 50)
     assert suffixes.removals(nothing).count() == 0
 
 
+def test_radix_order_sorts_bytes_and_tells_what_neighbours_share():
+    rng = np.random.default_rng(8)
+    suffix = rng.integers(0, 2, (400, 21)).astype(np.uint8)
+    suffix[:, :9] = suffix[rng.integers(0, 6, 400), :9]
+    group = rng.integers(0, 3, 400)
+    order, shared = suffixes.radix_order(suffix, group)
+    keyed = [(group[i], suffix[i].tobytes()) for i in order]
+    assert keyed == sorted(keyed)
+    for (g, a), (h, b), n in zip(keyed, keyed[1:], shared[1:]):
+        assert n == (-1 if g != h else next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 21))
+
+
+def test_copies_of_one_text_are_dealt_over_all_shards():
+    place = suffixes._place_of(np.arange(4000), np.full(4000, 77), 16)
+    assert np.bincount(place, minlength=16).max() < 400
+
+
 def test_deduplicate_keeps_columns_and_whole_characters(spark, messy):
     got = suffixes.deduplicate(messy)
     assert got.columns == messy.columns and got.count() == messy.count()
