@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import json
 import shutil
 from collections.abc import Iterator
@@ -13,12 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.blocks import local_folder, opened, rows_of, save, shard_of, squeezed
+from loomgrain.llm.blocks import Mapped, fill_absent, local_folder, opened, places_in, rows_of, save, shard_of, squeezed
 from loomgrain.llm.common import U64, Words, fold, lower_ascii, mix64, slices, utf8
+from loomgrain.operators.shared import settled
 
 BEGIN, END = U64(0x0B51_B0A7_5EED_0001), U64(0x0E4D_E4D1_5EED_0002)  # hashes of the two marks no word can be
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BLOB_SCHEMA = "shard int, a binary, b binary, n binary"
+STATS = ("tokens", "types", "n1", "n2", "n3", "n4")  # of words, by shard
 BASE_ADD = 0.1
 
 
@@ -86,11 +87,30 @@ def discounts_of(n: np.ndarray) -> list[float]:
     return [float(np.clip(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.01, k + 1)) for k in range(3)]
 
 
-def frequent_words(docs: DataFrame, rows: int = 500, share: float = 0.0005) -> np.ndarray:
-    """Words that are frequent in the first rows: their bigrams are dealt out by pair. Results don't depend on it."""
-    v, _, _ = tokens_of([r["text"] or "" for r in docs.select("text").take(rows)])
-    h, n = np.unique(v, return_counts=True)
-    return np.unique(np.concatenate([h[n > max(2, share * len(v))], [BEGIN]]).astype(U64))
+def frequent_words(docs: DataFrame, share: float = 0.0005) -> np.ndarray:
+    """Words that make up ``share`` of a task's tokens and, where they do, of all tokens: their bigrams are dealt out by pair.
+
+    All rows are counted. A word with twice that share of the corpus is always among them, and they are at most
+    1 / ``share``. Results don't depend on them.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = (np.zeros(0, U64), np.zeros(0, np.int64)), 0
+        for pdf in slices(frames):
+            v, _, _ = tokens_of(list(pdf["text"]))
+            total += len(v)
+            (h,), n = _summed([np.concatenate([held[0], v])], np.concatenate([held[1], np.ones(len(v), np.int64)]))
+            held = h, n
+            if len(h) > 2_000_000:  # what is rare so far can't be counted on: it is dropped, with an error below half the share
+                held = h[n > share / 2 * total], n[n > share / 2 * total]
+        often = held[1] >= share / 2 * total
+        yield pd.DataFrame({"word": np.append(held[0][often].view(np.int64), 0), "n": np.append(held[1][often], 0), "total": np.append(np.zeros(int(often.sum()), np.int64), total)})
+
+    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counts = settled(counts)
+    total = counts.agg(F.sum("total")).first()[0] or 0
+    found = counts.where((F.col("n") > 2) & (F.col("n") >= share * total)).select("word").toPandas()["word"].to_numpy(np.int64).view(U64)
+    return np.unique(np.concatenate([found, [BEGIN]]).astype(U64))
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Model:
@@ -157,7 +177,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         save(folder, f"pair-{shard}-n", np.minimum(sorted_n, 255).astype(np.uint8))
         large = np.nonzero(sorted_n >= 255)[0]
         save(folder, f"pair-{shard}-large", np.stack([large, sorted_n[large]]))
-        save(folder, f"stat-pair-{shard}", np.array([len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]))
+        yield pd.DataFrame({"shard": [int(shard)], "a": [b""], "b": [np.array([shard, len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]).tobytes()], "n": [b""]})
         zero, one = np.zeros(len(u), np.int64), np.ones(len(u), np.int64)
         as_next = np.stack([n, one, zero, zero, zero], axis=1)
         as_first = np.stack([np.where(u == BEGIN, n, 0), zero, n == 1, n == 2, n > 2], axis=1)
@@ -168,9 +188,12 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         yield from rows_of((int(s), squeezed(w[ends[s] : ends[s + 1]], True), b"", squeezed(sums[ends[s] : ends[s + 1]].T.ravel())) for s in full)
 
     def merge_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, keys, sums, pending = None, [], [], 0
+        shard, keys, sums, pending, told = None, [], [], 0, b""
         for pdf in frames:
-            for s, a, n in zip(pdf["shard"], pdf["a"], pdf["n"], strict=True):
+            for s, a, b, n in zip(pdf["shard"], pdf["a"], pdf["b"], pdf["n"], strict=True):
+                if b:  # what a bigram shard says of itself
+                    told += b
+                    continue
                 shard = s
                 keys.append(opened(a, "<u8", True))
                 sums.append(opened(n, "<i8").reshape(5, -1).T)
@@ -178,6 +201,8 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
                 if pending > 2_000_000 and pending > 2 * len(keys[0]):
                     (k,), n = _summed([np.concatenate(keys)], np.concatenate(sums))
                     keys, sums, pending = [k], [n], len(k)
+        if told:
+            yield pd.DataFrame({"shard": [None], "pairs": [told], **dict.fromkeys(STATS)})
         if not keys:
             return
         (w,), n = _summed([np.concatenate(keys)], np.concatenate(sums))
@@ -185,17 +210,17 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         for i, name in enumerate(("count", "before", "one", "two", "more")):
             save(folder, f"word-{shard}-{name}", _narrow(n[:, i]))
         token = n[:, 1] > 0  # BEGIN follows nothing
-        yield pd.DataFrame({"tokens": [int(n[token, 0].sum())], "types": [int(token.sum())], **{f"n{k}": [int((n[:, 1] == k).sum())] for k in (1, 2, 3, 4)}})
+        yield pd.DataFrame({"shard": [int(shard)], "pairs": [None], "tokens": [int(n[token, 0].sum())], "types": [int(token.sum())], **{f"n{k}": [int((n[:, 1] == k).sum())] for k in (1, 2, 3, 4)}})
 
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     pairs = source.mapInPandas(count, BLOB_SCHEMA).repartitionById(shards, F.col("shard"))
     words = pairs.mapInPandas(merge_pairs, BLOB_SCHEMA).repartitionById(shards, F.col("shard"))
-    stats = words.mapInPandas(merge_words, "tokens long, types long, n1 long, n2 long, n3 long, n4 long")
-    total = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stats.columns]).first()
-    pair_stats = np.zeros(5, np.int64)
-    for s in range(shards):
-        with contextlib.suppress(FileNotFoundError):
-            pair_stats += np.load(f"{folder}/stat-pair-{s}.npy")
+    stats = words.mapInPandas(merge_words, "shard int, pairs binary, " + ", ".join(f"{c} long" for c in STATS)).collect()  # two rows a shard at most
+    total = {c: sum(r[c] or 0 for r in stats) for c in STATS}
+    of_pairs = np.frombuffer(b"".join(r["pairs"] or b"" for r in stats), np.int64).reshape(-1, 6)
+    none, pair_stats = np.zeros(0, np.uint8), of_pairs[:, 1:].sum(axis=0)
+    fill_absent(folder, shards, {r["shard"] for r in stats} - {None}, ("word-{}-key", np.zeros(0, U64)), *((f"word-{{}}-{name}", none) for name in Arrays.WORD))
+    fill_absent(folder, shards, set(of_pairs[:, 0].tolist()), ("pair-{}-key", np.zeros(0, U64)), ("pair-{}-n", none), ("pair-{}-large", np.zeros((2, 0), np.int64)))
     model = Model(folder, shards, hot, total["tokens"], total["types"], int(pair_stats[0]))
     model.discounts = [discounts_of(pair_stats[1:]), discounts_of(np.array([total[f"n{k}"] for k in (1, 2, 3, 4)]))]
     if model.pair_types:
@@ -217,19 +242,7 @@ class Arrays:
     WORD = ("count", "before", "one", "two", "more")
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
-
-    def _get(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            if len(self.open) > 4000:
-                self.open.clear()
-            try:
-                self.open[name] = np.load(f"{self.model.folder}/{name}.npy", mmap_mode="r")
-            except FileNotFoundError:
-                self.open[name] = np.zeros(0, U64)
-            except ValueError:  # an empty array can't be mapped
-                self.open[name] = np.load(f"{self.model.folder}/{name}.npy")
-        return self.open[name]
+        self.model, self.files = model, Mapped(model.folder)
 
     def words(self, h: np.ndarray) -> np.ndarray:
         """Five numbers for each of the sorted hashes (0 if unknown)."""
@@ -237,12 +250,10 @@ class Arrays:
         ends = np.searchsorted(shard_of(h, self.model.shards), np.arange(self.model.shards + 1))
         for s in np.nonzero(np.diff(ends))[0]:
             a, b = ends[s], ends[s + 1]
-            keys = self._get(f"word-{s}-key")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h[a:b]), len(keys) - 1)
-                hit = np.nonzero(keys[at] == h[a:b])[0]
-                for i, name in enumerate(self.WORD):
-                    out[a + hit, i] = self._get(f"word-{s}-{name}")[at[hit]]
+            at, there = places_in(self.files[f"word-{s}-key"], h[a:b])
+            hit = np.nonzero(there)[0]
+            for i, name in enumerate(self.WORD):
+                out[a + hit, i] = self.files[f"word-{s}-{name}"][at[hit]]
         return out
 
     def pairs(self, u: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -253,16 +264,13 @@ class Arrays:
         ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for s in np.nonzero(np.diff(ends))[0]:
             some = order[ends[s] : ends[s + 1]]
-            keys = self._get(f"pair-{s}-key")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, p[some]), len(keys) - 1)
-                hit = keys[at] == p[some]
-                n = self._get(f"pair-{s}-n")[at[hit]].astype(np.int64)
-                large = self._get(f"pair-{s}-large")
-                over = np.nonzero(n == 255)[0]
-                if len(over):
-                    n[over] = large[1][np.searchsorted(large[0], at[hit][over])]
-                out[some[hit]] = n
+            at, hit = places_in(self.files[f"pair-{s}-key"], p[some])
+            n = self.files[f"pair-{s}-n"][at[hit]].astype(np.int64)
+            over = np.nonzero(n == 255)[0]
+            if len(over):
+                large = self.files[f"pair-{s}-large"]
+                n[over] = large[1][np.searchsorted(large[0], at[hit][over])]
+            out[some[hit]] = n
         return out
 
 
@@ -302,7 +310,9 @@ class Scorer:
 def score_documents(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     """Score every whole text with a model of the rows whose fold is not ``held``.
 
-    Null texts are empty: one END. Without training rows every token is unseen and has probability 1.
+    Null texts are empty: one END. Without training rows every token is unseen and has probability 1. Null ids count
+    as the empty text in the fold; repeated rows count each; texts of any length are read whole; other columns are
+    ignored; an empty table gives an empty result. An array that is missing from the model's folder is an error.
     The model stays in the shared folder as long as the result may be read (``Model.delete`` drops it).
     """
     held_out = fold(F.col("doc_id"), mod) == held

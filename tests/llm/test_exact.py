@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -305,6 +306,24 @@ def plain_simhash(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def test_a_missing_array_is_an_error(spark, messy):
+    model = kneser_ney.train(messy.select("doc_id", "text"), shards=3)
+    files = sorted(f"{model.folder}/{f}" for f in os.listdir(model.folder) if "key" in f)
+    assert len(files) == 6
+    kneser_ney.Scorer(model).score(["that then"])
+    for f in files:
+        os.remove(f)
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.Scorer(model).score(["that then"])
+
+
+def test_frequent_words_are_those_of_all_rows(spark):
+    docs = spark.createDataFrame([(i, f"common w{i} x{i} y{i}" if i < 900 else "late " * 40) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    h = {w: int(kneser_ney.tokens_of([w])[0][0]) for w in ("common", "late", "w3")}
+    got = set(kneser_ney.frequent_words(docs, share=0.05).tolist())
+    assert h["common"] in got and h["late"] in got and h["w3"] not in got
+
+
 def test_simhash_components(messy, nothing):
     got = simhash.near_duplicates(messy).collect()
     docs = rows(messy)
