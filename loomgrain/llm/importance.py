@@ -142,7 +142,9 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
 
     Draws k documents without replacement with chances in proportion to their importance weights, as the k
     largest of log weight + Gumbel noise; k is how many documents reach the learned cut. A text without a
-    word has weight 1 (log 0), rows with equal keys at the border are all selected, equal rows fare alike.
+    word has weight 1 (log 0), rows with equal keys at the border are all selected, equal rows fare alike. A null id draws
+    as id 0; texts of any length are weighed whole; other columns are ignored; an empty table gives an empty result,
+    and without labels of one kind every text has weight 1.
     """
     ratio, cut = fit_ratio(docs, labelled_sample(docs, labels, "quality", rows, sample), buckets)
     scored = weigh(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratio, ("doc_id",))
@@ -154,13 +156,12 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets:
 def select_documents(docs: DataFrame, labels: DataFrame, sample: int = 12_000, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that resampling selects, columns as they were.
 
-    Texts are weighed where they are read: once for the border, which needs the weights only, and once more
-    for the choice, so no text is shuffled or kept.
+    Texts are weighed once, where they are read: the rows are written beside their keys, the border is found among the
+    keys, and the choice is a filter on what was written. No text is shuffled.
     """
     ratio, cut = fit_ratio(docs, labelled_sample(docs, labels, "quality", None, sample), buckets)
     weight, key = fresh(docs, "weight", "gumbel_key")
     noise = gumbel(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(weight), seed=seed)
-    weighed = weigh(docs, ratio, tuple(docs.columns), weight).withColumn(key, F.col(weight) + noise)
-    keys = written(weighed.select(F.col(weight).alias("weight"), F.col(key).alias("gumbel_key")), "weights")
-    k = keys.where(F.col("weight") >= cut).count()
-    return weighed.where(F.col(key) >= threshold_of_top(keys, "gumbel_key", k)).select(*docs.columns)
+    weighed = written(weigh(docs, ratio, tuple(docs.columns), weight).withColumn(key, F.col(weight) + noise), "weighed")
+    k = weighed.where(F.col(weight) >= cut).count()
+    return weighed.where(F.col(key) >= threshold_of_top(weighed, key, k)).select(*docs.columns)
