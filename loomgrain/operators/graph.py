@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.operators.shared import settled
+from loomgrain.operators.shared import dropped, settled
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return nodes.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
-        cur = settled(_small_star(_large_star(cur)))
+        last, cur = cur, settled(_small_star(_large_star(cur)))
+        dropped(last)
         now = _signature(cur)
         if now == before:
             break
@@ -98,7 +99,8 @@ def chains(successor: DataFrame, max_rounds: int = 64) -> DataFrame:
             F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path", _until_repeat(F.col("path"), F.col("t_path")))).alias("path"),
             F.when(F.col("t").isNotNull() & whole, F.col("t_next")).alias("next"),
         )
-        paths = settled(out)
+        last, paths = paths, settled(out)
+        dropped(last)
     return paths.select("node", "path")
 
 

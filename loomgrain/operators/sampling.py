@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrain.operators.shared import settled
+
 
 def every_nth(df: DataFrame, order: str, wanted: int) -> DataFrame:
     """Every ``max(1, floor(n / wanted))``-th row in ``order``, ``wanted`` of them at most.
@@ -14,9 +16,7 @@ def every_nth(df: DataFrame, order: str, wanted: int) -> DataFrame:
     """
     parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     parts = parts.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
-    from loomgrain.operators.shared import cut_lineage
-
-    parts = cut_lineage(parts)
+    parts = settled(parts)
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = parts.count()

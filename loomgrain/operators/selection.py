@@ -23,10 +23,13 @@ def threshold_of_top(df: DataFrame, column: str, k: int, cells: int = 4096) -> f
     while low < high:
         width = (high - low) / cells
         if not low < low + width < high or math.isinf(width):
-            found = [r["x"] for r in values.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("x")).collect() for _ in range(r["n"])] if not math.isinf(width) else None
-            if found is None:
+            if math.isinf(width):
                 raise ValueError(f"{column} has infinite values")
-            return found[k - 1]
+            # a range of a few doubles: its distinct values are fewer than the cells
+            for r in values.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("x")).collect():
+                if k <= r["n"]:
+                    return r["x"]
+                k -= r["n"]
         cell = F.least(F.floor((F.col("x") - low) / width), F.lit(cells - 1))
         rows = values.where(F.col("x").between(low, high)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy(F.desc("c")).collect()
         for r in rows:
