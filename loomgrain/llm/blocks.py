@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from loomgrain.llm.common import U64
-from loomgrain.operators.shared import shared_dir
+from loomgrain.operators.shared import new_folder
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -42,12 +42,11 @@ def save(folder: str, name: str, x: np.ndarray) -> None:
 
 def local_folder(spark: SparkSession, label: str) -> str:
     """A folder under the shared one, as a path that every machine opens; the share must be a mounted file system."""
-    root = shared_dir(spark)
+    root = new_folder(spark, label)
     scheme, _, path = root.rpartition("://")
     if scheme not in ("", "file") and not root.startswith("file:"):
-        raise ValueError(f"the model is memory-mapped, so spark.checkpoint.dir must be a mounted folder, not {root}")
-    path = (path or root).removeprefix("file:")
-    folder = f"{path}/loomgrain/{label}-{uuid.uuid4().hex}"
+        raise ValueError(f"the arrays are memory-mapped, so spark.checkpoint.dir must be a mounted folder, not {root}")
+    folder = (path or root).removeprefix("file:")
     os.makedirs(folder)
     return folder
 
