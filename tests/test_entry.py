@@ -16,7 +16,7 @@ def test_entry_without_the_training_data_part(monkeypatch):
 
     def without(name, *a, **k):
         if name == "corpus_pipeline" or name.startswith("loomgrain.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **k)
 
     for m in [m for m in sys.modules if m in ("__spark_entry__", "corpus_pipeline") or m.startswith("loomgrain.llm")]:
