@@ -94,7 +94,7 @@ def anchors_of(raws: list[bytes], depth: Depth) -> tuple[np.ndarray, np.ndarray,
     chosen = np.nonzero((around[: len(h)] == h[: len(around)]) & (h[: len(around)] != most))[0]
     own = np.searchsorted(begin, chosen, side="right") - 1
     ok = (own >= 0) & (chosen + depth.gram <= (begin + size)[own]) & (size[own] >= depth.window)
-    return joined, begin, chosen[ok], h[chosen[ok]]
+    return joined, begin, chosen[ok], mix64(~h[chosen[ok]])  # least hashes are small: mixed anew, they are dealt evenly
 
 
 def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: int) -> None:
@@ -367,7 +367,7 @@ def _place_of(doc: np.ndarray, text: np.ndarray, shards: int) -> np.ndarray:
     return shard_of(mix64(text.view(U64) ^ mix64(doc.view(U64))), shards)
 
 
-def spans_of(docs: DataFrame, depth: Depth, crowd: int = 8_000) -> DataFrame:
+def spans_of(docs: DataFrame, depth: Depth, crowd: int = 2_000) -> DataFrame:
     """``(key, text_hash, spans)`` of texts with bytes to remove; spans are pairs of long, in order, none touching.
 
     ``docs(key, text_hash, text)``: ``key`` orders the documents. Suffixes are taken at one gram of each window, which
