@@ -12,6 +12,9 @@ from loomgrain.plans.scan import is_monorepo, scan, scan_monorepo
 from loomgrain.sources.tree import find_root
 
 
+SNIPPET, BROKEN = 6, 5  # lines of a removed declaration, and names still read, that are shown
+
+
 def _share(text: str) -> float:
     value = float(text)
     if not 0 <= value <= 1:
@@ -43,15 +46,21 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             for line in report.render(result, not a.no_color and sys.stdout.isatty()):
                 print(line)
-        if a.fix and result.facts is not None:
+        if a.fix:
             planned = fixes.plan(result)
             for r in planned.orderBy("file", "startLine").toLocalIterator():
                 print(f"remove {r['symbol']} ({r['file']}:{r['startLine']}-{r['endLine']})")
+                lines = r["snippet"].split("\n")
+                for line in [*lines[:SNIPPET], *([f"...{len(lines) - SNIPPET} more lines"] if len(lines) > SNIPPET else [])]:
+                    print(f"  - {line}")
             if a.yes:
-                pending = fixes.prepare(result, planned)
-                for file, name in pending.broken_by[:5]:
+                pending = fixes.batches(result, planned)
+                broken = [b for p in pending for b in p.broken_by]
+                for file, name in broken[:BROKEN]:
                     print(f"not removed: {name} is still read in {file}")
-                print(f"{len(fixes.commit([pending]))} files changed")
+                if len(broken) > BROKEN:
+                    print(f"...and {len(broken) - BROKEN} more")
+                print(f"{len(fixes.commit(pending))} files changed")
             else:
                 print("nothing changed; -y removes them")
         return 0 if result.issues.isEmpty() and result.insights.isEmpty() else 1

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,10 @@ ANY = "*"
 
 @dataclass
 class Result:
-    """``issues`` and ``insights`` share one schema; ``facts`` and ``files`` are what they were made of."""
+    """``issues`` and ``insights`` share one schema; ``facts`` and ``files`` are what they were made of.
+
+    A monorepo's result has its packages' results as ``parts``; ``stages`` says how many milliseconds each stage took.
+    """
 
     issues: DataFrame
     insights: DataFrame
@@ -31,6 +35,28 @@ class Result:
     root: str
     facts: DataFrame | None = None
     files: DataFrame | None = None
+    parts: list[Result] = field(default_factory=list)
+    stages: dict[str, int] = field(default_factory=dict)
+
+    def part_of(self, file: str) -> Result:
+        """The result of the innermost package that holds a file."""
+        inside = [p for p in self.parts if file == p.root or file.startswith(p.root + "/")]
+        return max(inside, key=lambda p: len(p.root), default=self)
+
+
+class Stages(dict):
+    """Milliseconds by stage. With ``LOOMGRAIN_PROFILE`` set, each is told on standard error as it ends."""
+
+    def __init__(self):
+        super().__init__()
+        self.since = time.time()
+
+    def end(self, name: str) -> None:
+        now = time.time()
+        self[name] = int((now - self.since) * 1000)
+        self.since = now
+        if os.environ.get("LOOMGRAIN_PROFILE"):
+            print(f"{name}: {self[name]} ms", file=sys.stderr)
 
 
 def scan(spark: SparkSession, root: str, paths: list[str] | None = None, only: list[str] | None = None, ignore: list[str] | None = None, min_confidence: float = 0.0, verbose: bool = False, consumed: set[str] = frozenset(), in_monorepo: bool = False) -> Result:
@@ -38,22 +64,26 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None, only: l
 
     ``only`` names detectors (insights run on whatever issues there are); ``verbose`` keeps the issues that
     insights sum up; the roll-up comes before the confidence floor. ``consumed`` names symbols used from
-    outside, ``*`` meaning all.
+    outside, ``*`` meaning all. The project's root is the nearest folder with a project file from the first path (no
+    paths: from ``root``) upwards; all paths are taken below it, and paths that are the root itself mean all of it.
     """
-    began = time.time()
+    began, stages = time.time(), Stages()
     unknown = set(only or ()) - set(findings.DETECTORS)
     if unknown:
         raise ValueError(f"no such detector: {', '.join(sorted(unknown))}")
-    start = (paths or [root])[0]
-    start = start if os.path.isabs(start) else os.path.join(root, start)
-    home = tree.find_root(start if os.path.isdir(start) else os.path.dirname(start)) if paths else os.path.abspath(root)
-    rels = tree.discover(home, [p if os.path.isabs(p) else os.path.join(os.path.abspath(root), p) for p in paths] if paths else None, ignore)
+    given = [os.path.normpath(os.path.join(os.path.abspath(root), p)) for p in paths or ()]
+    start = given[0] if given else os.path.abspath(root)
+    home = tree.find_root(start if os.path.isdir(start) else os.path.dirname(start))
+    rels = tree.discover(home, [p for p in given if p != home] or None, ignore)
+    stages.end("discover")
     config = tree.compiler_config(home)
     files = written(tree.read(spark, home, rels), "files")
     facts = written(extract(files, config.aliases), "facts")
     packages = tree.workspace_packages(home)
+    stages.end("facts")
     links = Links(home, files, facts, packages)
     links.facts = facts
+    stages.end("links")
     production = files.where(~rules.is_test(F.col("rel")) & ~rules.is_generated(F.col("rel"), F.col("text"))).select("rel")
     real = facts.join(production, "rel", "left_semi")
     wanted = set(only or findings.DETECTORS)
@@ -74,6 +104,7 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None, only: l
     for p in parts[1:]:
         issues = issues.unionByName(p)
     issues = settled(issues.withColumn("id", F.monotonically_increasing_id()))
+    stages.end("detectors")
     insights, used = findings.insights(issues, links, in_monorepo or bool(tree.workspace_globs(home)))
     if not verbose:
         issues = issues.join(used, "id", "left_anti")
@@ -81,7 +112,8 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None, only: l
     if min_confidence > 0:
         issues, insights = issues.where(F.col("confidence") >= min_confidence), insights.where(F.col("confidence") >= min_confidence)
     issues, insights = settled(issues), settled(insights)
-    return Result(issues, insights, len(rels), int((time.time() - began) * 1000), home, facts, files)
+    stages.end("insights")
+    return Result(issues, insights, len(rels), int((time.time() - began) * 1000), home, facts, files, stages=stages)
 
 
 def is_monorepo(root: str) -> bool:
@@ -171,4 +203,4 @@ def scan_monorepo(spark: SparkSession, root: str, **options) -> Result:
     issues, insights = results[0].issues, results[0].insights
     for r in results[1:]:
         issues, insights = issues.unionByName(r.issues), insights.unionByName(r.insights)
-    return Result(issues, insights, sum(r.files_scanned for r in results), int((time.time() - began) * 1000), root)
+    return Result(issues, insights, sum(r.files_scanned for r in results), int((time.time() - began) * 1000), root, parts=results)
