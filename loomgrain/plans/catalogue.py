@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrain.operators import graph, joins, ngrams
+from loomgrain.operators.shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SIZE, CAP = 50, 30  # tokens of a window, members of a bucket
+SIZE, CAP = 50, 30  # tokens of a window, members of a bucket that window_collisions reports
 
 
 def _query(sql: str):
@@ -29,7 +30,7 @@ _WINDOWS = f"""
     pos AS (SELECT doc_id, t, unnest(range(0, len(t) - {SIZE} + 1)) AS start FROM tok WHERE len(t) >= {SIZE}),
     win AS (SELECT doc_id, start, array_to_string(t[start + 1 : start + {SIZE}], ' ') AS h FROM pos),
     bucket AS (SELECT *, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) AS r FROM win),
-    member AS (SELECT doc_id, start, h, r FROM bucket WHERE n > 1 AND r <= {CAP}),
+    member AS (SELECT doc_id, start, h, r FROM bucket WHERE n > 1),
     pair AS (SELECT f.doc_id AS a, m.doc_id AS b, f.start AS a_start, m.start AS b_start
              FROM member m JOIN member f ON f.h = m.h AND f.r = 1
              WHERE m.r > 1 AND (f.doc_id <> m.doc_id OR m.start - f.start >= {SIZE})),
@@ -37,9 +38,12 @@ _WINDOWS = f"""
     match AS (SELECT a, b, min(a_start) AS a_start, min(b_start) AS b_start, count(*) + {SIZE - 1} AS len FROM island GROUP BY a, b, d, g)"""
 
 
+def _document_windows(t) -> DataFrame:
+    return settled(ngrams.windows(t("documents").select("doc_id", ngrams.words(F.col("text")).alias("t")), "doc_id", "t", SIZE))
+
+
 def _matches(t) -> DataFrame:
-    docs = t("documents").select("doc_id", ngrams.words(F.col("text")).alias("t"))
-    pairs = ngrams.star_pairs(ngrams.windows(docs, "doc_id", "t", SIZE), "doc_id", SIZE, CAP)
+    pairs = ngrams.star_pairs(_document_windows(t), "doc_id", SIZE)
     return ngrams.maximal_matches(pairs.where("a <> b or a_start <> b_start"), SIZE)
 
 
@@ -67,11 +71,10 @@ def token_windows(t):
 
 @_query(f"WITH {_WINDOWS} SELECT doc_id, CAST(start AS INTEGER) AS start, n, CAST(r AS INTEGER) AS r FROM bucket WHERE n > 1 AND r <= {CAP}")
 def window_collisions(t):
-    docs = t("documents").select("doc_id", ngrams.words(F.col("text")).alias("t"))
-    wins = ngrams.windows(docs, "doc_id", "t", SIZE)
-    sizes = wins.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "start"))
-    return wins.join(sizes, "h").withColumn("r", rank).where(F.col("r") <= CAP).drop("h")
+    wins = _document_windows(t)
+    sizes = settled(wins.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1"))
+    rank = F.row_number().over(Window.partitionBy("h", "g").orderBy("doc_id", "start"))
+    return wins.join(sizes, ["h", "g"]).withColumn("r", rank).where(F.col("r") <= CAP).drop("h", "g")
 
 
 @_query(f"WITH {_WINDOWS} SELECT a, b, CAST(a_start AS INTEGER) AS a_start, CAST(b_start AS INTEGER) AS b_start, len FROM match")
@@ -86,7 +89,7 @@ def maximal_matches(t):
     comp AS (SELECT n, min(m) AS c FROM walk GROUP BY n)
     SELECT c.c AS primary_id, count(DISTINCT c.n) AS n_members, max(x.len) AS max_len FROM comp c JOIN match x ON x.a <> x.b AND (x.a = c.n OR x.b = c.n) GROUP BY c.c""")
 def duplicate_clusters(t):
-    found = _matches(t).where("a <> b")
+    found = settled(_matches(t).where("a <> b"))
     comp = graph.connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     longest = found.select(F.col("a").alias("node"), "len").union(found.select("b", "len")).groupBy("node").agg(F.max("len").alias("len"))
     return comp.join(longest, "node").groupBy(F.col("component").alias("primary_id")).agg(F.count("*").alias("n_members"), F.max("len").alias("max_len"))
@@ -113,7 +116,8 @@ def benchmark_contamination(t):
     def wins(name, key):
         return ngrams.windows(t(name).select(key, ngrams.words(F.col("text")).alias("w")), key, "w", 13)
 
-    return wins("documents", "doc_id").join(wins("benchmark", "item_id").select("h").distinct(), "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_windows"))
+    known = settled(wins("benchmark", "item_id").select("h", "g").distinct())
+    return wins("documents", "doc_id").join(known, ["h", "g"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_windows"))
 
 
 _MARKERS = "@generated|auto-generated|autogenerated|do not edit|do not modify|licensed under|all rights reserved"

@@ -40,7 +40,6 @@ def dead_code(decls: DataFrame, links: Links, allow_js: bool, consumed: DataFram
 
     ``decls`` are those of production files; ``consumed(symbol)`` is used from outside, ``*`` meaning all.
     """
-    files = links.files
     at = decls.join(links.entries, "rel", "left_anti").where(~F.col("symbol").startswith("_") & ~F.col("decorated"))
     if not allow_js:
         at = at.where(~F.col("rel").rlike(r"(?i)\.[mc]?jsx?$"))
@@ -60,7 +59,6 @@ def dead_code(decls: DataFrame, links: Links, allow_js: bool, consumed: DataFram
     dead = finding(dead, "dead-code", confidence=clamp(F.lit(0.9) - default - framework + F.when(F.col("exported"), 0.0).otherwise(0.05)), exported=F.col("exported"), **common)
     local = at.where(F.col("exported") & (F.col("local_uses") > 0) & ~F.col("rel").rlike(rules.PUBLICATION))
     local = finding(local, "unused-export", confidence=clamp(F.lit(0.75) - default - framework), localUses=F.col("local_uses"), **common)
-    del files
     return dead.unionByName(local)
 
 
@@ -87,7 +85,7 @@ def same_shapes(types: DataFrame) -> DataFrame:
     one = F.struct("rel", "ord", spot(F.col("file"), F.col("line"), F.col("col")).alias("loc"), "name")
     groups = kept.groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("g"), F.count_distinct("name").alias("names"), F.sum("layered").alias("layered"), F.first(F.size("members")).alias("fields"))
     score = clamp(F.lit(0.8) - F.when(F.col("layered") >= 2, 0.2).otherwise(0.0) + F.least(F.lit(0.025) * (F.col("fields") - 3), F.lit(0.1)))
-    rest = F.slice("g", 2, 1_000_000)
+    rest = F.slice("g", F.lit(2), F.size("g"))
     return finding(groups.where("size(g) >= 2 and names >= 2"), "same-shape-types", confidence=score, primary=F.col("g")[0]["loc"], matches=F.transform(rest, lambda x: x["loc"]), primaryName=F.col("g")[0]["name"], matchNames=F.transform(rest, lambda x: x["name"]), fieldCount=F.col("fields"))
 
 
@@ -111,7 +109,7 @@ def duplicates(facts: DataFrame, files: DataFrame) -> DataFrame:
     small = files.where(F.size(F.split("text", "\n")) <= MAX_LINES).select("rel")
     rows = facts.join(small, "rel", "left_semi").where(F.size("tokens") >= WINDOW)
     rows = settled(rows.select("file", "rel", "tokens", "functions", "lists", F.transform("tokens", lambda t: t["norm"]).alias("norm")))
-    pairs = ngrams.star_pairs(ngrams.windows(rows, "rel", "norm", WINDOW), "rel", WINDOW, BUCKET_CAP)
+    pairs = ngrams.star_pairs(settled(ngrams.windows(rows, "rel", "norm", WINDOW)), "rel", WINDOW, BUCKET_CAP)
     both_or_neither = lambda p: F.col("a").rlike(p) & F.col("b").rlike(p)
     allowed = ~both_or_neither(rules.I18N) & ((F.col("a") == F.col("b")) | ~(both_or_neither(rules.PUBLICATION) | both_or_neither(rules.MIGRATIONS) | (_base("a") == _base("b"))))
     runs = ngrams.maximal_matches(pairs.where(allowed), WINDOW).where((F.col("a") != F.col("b")) | (F.col("b_start") - F.col("a_start") - F.col("len") >= WINDOW))
@@ -165,8 +163,6 @@ def _clusters(m: DataFrame) -> DataFrame:
     head = F.col("best.head.l")
     base = lambda f: F.element_at(F.split(f, "/"), -1)
     keep = lambda x: ~((x["file"] == head["file"]) & (x["line"] == head["line"])) & ~((x["file"] != head["file"]) & (base(x["file"]) == base(head["file"])))
-    places = F.map_values(F.map_from_entries(F.array_distinct(F.transform(F.array_sort("all"), lambda x: F.struct(F.concat_ws(":", x["file"], x["line"].cast("string")).alias("key"), F.lit(0).alias("v"))))))
-    del places
     first_of_line = F.filter(F.array_sort("all"), keep)
     first_of_line = F.filter(first_of_line, lambda x, i: ~F.exists(F.slice(first_of_line, 1, i), lambda y: (y["file"] == x["file"]) & (y["line"] == x["line"])))
     groups = groups.withColumn("matches", first_of_line).where("size(matches) > 0")
@@ -189,7 +185,7 @@ def _structural(rows: DataFrame, windows: DataFrame) -> DataFrame:
     groups = groups.where("size(g) >= 2 and names >= 2 and not quiet and not covered and not (bases = 1 and files > 1)")
     bonus = F.least(F.lit(0.05), (F.col("nodes") - MIN_NODES) / MIN_NODES * 0.03)
     preview = F.concat(F.array_join(F.transform("g", lambda x: x["name"]), ", "), F.lit(" — same AST shape ("), F.col("nodes"), F.lit(" nodes)"))
-    return finding(groups, "duplicate", confidence=clamp(F.lit(0.7) + F.when(F.size("g") >= 3, 0.05).otherwise(0.0) + bonus), primary=F.col("g")[0]["loc"], matches=F.transform(F.slice("g", 2, 1_000_000), lambda x: x["loc"]), similarity=F.lit(1.0), preview=preview)
+    return finding(groups, "duplicate", confidence=clamp(F.lit(0.7) + F.when(F.size("g") >= 3, 0.05).otherwise(0.0) + bonus), primary=F.col("g")[0]["loc"], matches=F.transform(F.slice("g", F.lit(2), F.size("g")), lambda x: x["loc"]), similarity=F.lit(1.0), preview=preview)
 
 
 # insights over issues that carry an ``id``
@@ -245,7 +241,7 @@ def _dead_duplicates(dead: DataFrame, dups: DataFrame) -> tuple[DataFrame, DataF
     groups = hit.groupBy("id").agg(F.count("*").alias("n"), F.count("d").alias("hits"), F.count_distinct("d.did").alias("different"), F.min("d.dc").alias("dc"), F.first("confidence").alias("confidence"), F.first("similarity").alias("similarity"), F.first("primary").alias("primary"), F.first("matches").alias("matches"), F.sort_array(F.collect_list(F.struct("p", "d.s", "d.did"))).alias("g"))
     whole = settled(groups.where("hits = n and different = n"))
     names = F.transform("g", lambda x: x["s"])
-    out = finding(whole, "dead-duplicate-pair", confidence=F.least("confidence", "dc"), primary=F.col("primary"), matches=F.col("matches"), similarity=F.col("similarity"), primarySymbol=names[0], matchSymbols=F.slice(names, 2, 1_000_000))
+    out = finding(whole, "dead-duplicate-pair", confidence=F.least("confidence", "dc"), primary=F.col("primary"), matches=F.col("matches"), similarity=F.col("similarity"), primarySymbol=names[0], matchSymbols=F.slice(names, F.lit(2), F.size(names)))
     return out, whole.select("id").union(whole.select(F.explode(F.transform("g", lambda x: x["did"]))))
 
 
