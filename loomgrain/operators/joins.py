@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def backward_asof(left: DataFrame, right: DataFrame, by: list[str], order: str, value: str, tolerance: Column | None = None) -> DataFrame:
+def backward_asof(left: DataFrame, right: DataFrame, by: list[str], order: str, value: str, tolerance: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """``left`` with ``value`` of the latest ``right`` row of the same ``by`` whose ``order`` is not later.
 
     One union, one window: rows of both sides are sorted together and the last right row is carried on, so
     no pair is formed however many rows a key has. ``tolerance`` is a condition on ``order`` and ``matched``
     (the right row's order), beyond which the value is null. At equal order the largest value counts.
+    ``bucket``, a column of ``order`` that never falls as it rises (a day of a time, say), splits keys that have many
+    rows: a key's buckets are sorted in tasks of their own, and what a bucket begins with is carried over from those
+    before it, one row a bucket.
     """
     side = F.struct(F.col(order).alias("matched"), F.col(value).alias("v"))
-    r = right.select(*by, order, F.lit(0).alias("_side"), side.alias("_hit"), F.col(value).alias("_v"))
     columns = [c for c in left.columns if c not in (*by, order)]
-    both = left.withColumn("_side", F.lit(1)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col(order), F.col("_side"), F.col("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.lit(0) if bucket is None else bucket
+    r = right.select(*by, order, F.lit(0).alias("_side"), side.alias("_hit"), F.col(value).alias("_v"))
+    both = left.withColumn("_side", F.lit(1)).unionByName(r, allowMissingColumns=True).withColumn("_part", part)
+    w = Window.partitionBy(*by, "_part").orderBy(F.col(order), F.col("_side"), F.col("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("_last", F.last("_hit", ignorenulls=True).over(w)).where("_side = 1")
+    if bucket is not None:
+        parts = both.groupBy(*by, "_part").agg(F.max("_hit").alias("_hit"))
+        earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), F.last("_hit", ignorenulls=True).over(earlier).alias("_before"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_part").eqNullSafe(F.col("_at"))]
+        out = out.join(carried.where("_before is not null"), reduce(Column.__and__, same), "left").withColumn("_last", F.coalesce("_last", "_before"))
     out = out.select(*by, order, *columns, F.col("_last.matched").alias("matched"), F.col("_last.v").alias(f"last_{value}"))
     if tolerance is None:
         return out

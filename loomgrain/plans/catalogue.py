@@ -204,7 +204,7 @@ def asof_last_error(t):
     errors = events.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("error_id"))
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     near = F.col("matched") >= F.col("ts") - F.expr("INTERVAL 1 HOUR")
-    return joins.backward_asof(bought, errors, ["user_id"], "ts", "error_id", near).select("event_id", F.col("last_error_id"))
+    return joins.backward_asof(bought, errors, ["user_id"], "ts", "error_id", near, F.date_trunc("day", "ts")).select("event_id", F.col("last_error_id"))
 
 
 @_query("""WITH l AS (SELECT l_orderkey, min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem GROUP BY l_orderkey),

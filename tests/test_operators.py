@@ -1,6 +1,7 @@
 """Generic operators against brute force, and the catalogue against its SQL."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -69,6 +70,16 @@ def test_asof_prefix_candidates_and_sampling(spark):
     left = spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, t int")
     right = spark.createDataFrame([(1, 9, "a"), (1, 20, "b"), (1, 21, "c"), (2, 6, "d")], "k int, t int, v string")
     assert {(r["k"], r["t"]): r["last_v"] for r in joins.backward_asof(left, right, ["k"], "t", "v").collect()} == {(1, 10): "a", (1, 20): "b", (2, 5): None}
+    rng = random.Random(4)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(60)]), i) for i in range(200)], "k int, t int, i int")
+    right = spark.createDataFrame([(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *range(60)]), rng.choice(["x", "y", None])) for _ in range(40)], "k int, t int, v string")
+    whole = joins.backward_asof(left, right, ["k"], "t", "v").collect()
+    assert Counter(joins.backward_asof(left, right, ["k"], "t", "v", bucket=F.floor(F.col("t") / 7)).collect()) == Counter(whole)
+    hits = right.collect()
+    for r in whole:
+        if r["k"] is not None and r["t"] is not None:
+            earlier = [x["t"] for x in hits if x["k"] == r["k"] and x["t"] is not None and x["t"] <= r["t"]]
+            assert not earlier or r["matched"] == max(earlier)
     paths = spark.createDataFrame([("a/b/c",), ("a/bc",), ("z",)], "p string")
     owners = spark.createDataFrame([("a",), ("a/b",)], "o string")
     assert {r["p"]: r["owner"] for r in joins.longest_prefix(paths, "p", owners, "o").collect()} == {"a/b/c": "a/b", "a/bc": "a", "z": None}
