@@ -11,14 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import U64, fold, slices, utf8
+from loomgrain.llm.common import U64, fold, mix64, slices
 from loomgrain.llm.labelled import labelled_sample
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-LENGTHS = (4, 5, 6)
-_GAP = b" " * max(LENGTHS)
-#: ASCII letters lower-cased, digits and bytes beyond ASCII as they are, everything else a blank.
-_CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+LENGTHS = (2, 4, 5, 6)  # characters
+_GAP = " " * max(LENGTHS)
+#: ASCII letters lower-cased, digits as they are, everything else of ASCII a blank.
+_CLEAN = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(128)], np.uint32)
+_BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -32,17 +33,20 @@ class Model:
 
 
 def gram_hashes(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: (starts of the texts in the joined bytes, hash of the n-gram at each byte)."""
-    raws = [utf8(t).translate(_CLEAN) for t in texts]
-    joined = _GAP + b"".join(r + _GAP for r in raws)
-    at = np.cumsum([0] + [len(r) + len(_GAP) for r in raws])
-    b = np.frombuffer(joined + _GAP, np.uint8)
-    size = len(joined) - len(_GAP)
+    """For each n: (starts of the texts among the joined characters, hash of the n-gram at each character).
+
+    Characters are code points, lower-cased; beyond ASCII they stand as they are, in any script.
+    """
+    low = [t.lower() for t in texts]
+    at = np.cumsum([0] + [len(t) + len(_GAP) for t in low])
+    c = np.frombuffer((_GAP + "".join(t + _GAP for t in low) + _GAP).encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.where(c < 128, _CLEAN[np.minimum(c, 127)], c).astype(U64)
+    size = len(c) - 2 * len(_GAP) + len(_GAP)
     gram = np.zeros(size, U64)
     for n in range(max(LENGTHS)):
-        gram |= b[n : n + size].astype(U64) << U64(8 * n)
+        gram = gram * U64(_BASE) + c[n : n + size]
         if n + 1 in LENGTHS:
-            yield at, ((gram * U64(0x9E3779B97F4A7C15 + 2 * n)) >> U64(64 - bits)).astype(np.int32)
+            yield at, ((mix64(gram + U64(n))) >> U64(64 - bits)).astype(np.int32)
 
 
 def document_counts(sample: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +150,10 @@ def _logistic(who: np.ndarray, what: np.ndarray, y: np.ndarray, r: np.ndarray, p
 def score_documents(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, threshold: float = 0.7, sample: int = 16_000) -> DataFrame:
     """Score every whole text; learn from at most ``sample`` labelled rows whose fold is not ``held``.
 
-    Null texts are empty and get the bias's score. Labels, language, source and id are never inputs.
+    Null texts are empty and get the bias's score. Labels, language, source and id are never inputs. Null ids count as
+    the empty text in the fold and learn nothing; repeated rows score alike; texts of any length are read whole; other
+    columns are ignored; an empty table gives an empty result, and without labels of both classes every score is
+    the smoothed share of label 1.
     """
     model = fit(labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), mod) != held, sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), mod) == held).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))

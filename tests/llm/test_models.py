@@ -66,6 +66,45 @@ def test_toxicity_edges(messy, nothing, labels, docs, known):
     assert by[1] > by[0]
 
 
+def test_toxicity_grams_are_characters_of_any_script():
+    text = "Ab日本é!"
+    low = "ab日本é "
+    for n, (at, h) in zip(toxicity.LENGTHS, toxicity.gram_hashes([text, "zz ab日本"], 20)):
+        gap = " " * max(toxicity.LENGTHS)
+        whole = gap + low + gap + "zz ab日本" + gap + gap
+        seen = {}
+        for i in range(len(h)):
+            assert seen.setdefault(whole[i : i + n], h[i]) == h[i]
+        assert len(set(seen.values())) == len(seen) and at.tolist() == [0, 12, 25]
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Counts, log-count ratios and scores of a small sample, by sets and dictionaries; the coefficients minimise the same loss."""
+    import numpy as np
+
+    texts = [("good calm day " if i % 3 else "vile foul rot ") + f"word{i % 7} of note{i % 5}" for i in range(60)]
+    sample = spark.createDataFrame([(i, t, int(i % 3 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, y int")
+    y = np.array([int(i % 3 == 0) for i in range(60)])
+    model = toxicity.fit(sample, bits=18)
+    held = [{int(x) for at, h in toxicity.gram_hashes([t], 18) for x in h[at[0] : at[1]]} for t in texts]
+    n = [len(y) - y.sum(), y.sum()]
+    counts = np.zeros((2, 1 << 18))
+    for label, grams in zip(y, held):
+        counts[label, list(grams)] += 1
+    p, q = (counts[1] + 1) / (n[1] + 2), (counts[0] + 1) / (n[0] + 2)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    chosen = np.nonzero(model.slot >= 0)[0]
+    mean = counts.sum(axis=0) / 60
+    gap = np.abs(counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n[0] + 1 / n[1]))
+    assert set(chosen.tolist()) == set(np.nonzero((gap > 3) & (counts.sum(axis=0) >= 3))[0].tolist()) and len(chosen) < 3000
+    x = np.array([[ratio[c] if c in grams else 0.0 for c in chosen] for grams in held])
+    coefficient = model.weight / ratio[chosen]
+    error = np.where(y > 0, 2.0, 1.0) * (1 / (1 + np.exp(-(x @ coefficient + model.bias))) - y) / 60
+    assert np.abs(x.T @ error + 0.05 * coefficient / 60).max() < 2e-3 and abs(error.sum()) < 2e-3  # the loss is flat there
+    rows, what = toxicity.features_of(texts, model.slot, 18)
+    assert {(int(a), int(chosen[b])) for a, b in zip(rows, what)} == {(i, c) for i, grams in enumerate(held) for c in grams & set(chosen.tolist())}
+
+
 def test_threshold_is_the_kth_value(spark):
     values = [0.5, 0.5, 1.0, -3.0, 1e300, -1e300, 2.5, None, float("nan")]
     df = spark.createDataFrame([(v,) for v in values], "x double")
