@@ -104,36 +104,39 @@ def edited(text: str, following: str) -> str:
 def fingerprint_documents(docs: DataFrame, bins: int = 512, bits: int = 4, words: int = 5) -> DataFrame:
     """Fingerprint every document and its edited text; compare with the edited text and the next document.
 
-    Null texts are empty. Null ids come first, repeated ids follow one another by text, the last row's
-    next is the first, a lone row's next is itself, an empty table gives an empty result.
+    Null texts are empty. Null ids come first, rows of one id follow one another by a hash of the text (rows that are
+    alike in both: one after the other), the last row's next is the first, a lone row's next is itself, an empty table
+    gives an empty result. Texts of any length are read whole; other columns are ignored. An id of -2**63 counts as null.
     """
     ordered = in_id_order(docs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker, carry, carry_fp = OnePermutation(bins, bits, words), None, None
         for pdf in slices(frames, limit=3_000_000):
-            text, block, halo = list(pdf["text"]), list(pdf["block"]), list(pdf["halo"])
-            ids = list(pdf["doc_id"])
-            fp = maker.packed([lower_ascii(utf8(t)) for t in text])
+            rows = list(zip(pdf["text"], pdf["block"], pdf["halo"], pdf["doc_id"], pdf["times"], strict=True))
+            fp = maker.packed([lower_ascii(utf8(r[0])) for r in rows])
             if carry is not None:
-                text, block, halo, ids = [carry[0], *text], [carry[1], *block], [carry[2], *halo], [carry[3], *ids]
-                fp = np.concatenate([carry_fp, fp])
-            carry, carry_fp = (text[-1], block[-1], halo[-1], ids[-1]), fp[-1:]
-            own = [i for i in range(len(text) - 1) if not halo[i] and block[i] == block[i + 1]]
-            if not own:
+                rows, fp = [carry, *rows], np.concatenate([carry_fp, fp])
+            carry, carry_fp = rows[-1], fp[-1:]
+            pairs = []  # (row, the row that follows it, how many such)
+            for i, ((_, block, halo, _, times), after) in enumerate(zip(rows, rows[1:])):
+                if not halo and block == after[1]:
+                    pairs += [(i, i, times - 1)] * (times > 1) + [(i, i + 1, 1)]
+            if not pairs:
                 continue
-            changed = [edited(text[i], text[i + 1]) for i in own]
-            raws = [utf8(t) for t in changed]
+            own, following, times = (np.array(x) for x in zip(*pairs, strict=True))
+            raws = [utf8(edited(rows[i][0], rows[j][0])) for i, j in zip(own, following, strict=True)]
             fp_changed = maker.packed([lower_ascii(r) for r in raws])
-            fp_own, fp_next = fp[own], fp[[i + 1 for i in own]]
-            yield pd.DataFrame({
-                "doc_id": pd.array([None if pd.isna(ids[i]) else int(ids[i]) for i in own], "Int64"),
-                "n_chars": [len(text[i]) for i in own],
+            fp_own, fp_next = fp[own], fp[following]
+            out = pd.DataFrame({
+                "doc_id": pd.array([None if pd.isna(rows[i][3]) else int(rows[i][3]) for i in own], "Int64"),
+                "n_chars": [len(rows[i][0]) for i in own],
                 "edited_sha256": [hashlib.sha256(r).hexdigest() for r in raws],
                 "fingerprint": [x.tobytes().hex() for x in fp_own],
                 "edited_fingerprint": [x.tobytes().hex() for x in fp_changed],
                 "near_edited": maker.likeness(fp_own, fp_changed),
                 "near_next": maker.likeness(fp_own, fp_next),
             })
+            yield out.loc[np.repeat(np.arange(len(out)), times)] if (times > 1).any() else out
 
     return ordered.mapInPandas(run, FINGERPRINT_SCHEMA)

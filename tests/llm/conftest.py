@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, key string, score int, node int, block int, h int, bucket int, y int, t int, c0 int, rank int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, key string, score int, node int, block int, h int, bucket int, y int, t int, c0 int, rank int, weight int, gumbel_key int, language int, _score int, _key int, _hash int, size int, hash int, language_ int"
 
 
 def prose(seed: int, n: int) -> str:
@@ -11,7 +11,7 @@ def prose(seed: int, n: int) -> str:
 
 
 def row(doc_id, text, lang="en"):
-    return (doc_id, text, lang, "s", len(text or ""), "x", "k", 1, 2, 3, 4, 5, 6, 7, 8, 9)
+    return (doc_id, text, lang, "s", len(text or ""), "x", "k", *range(1, 19))
 
 
 @pytest.fixture(scope="session")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from loomgrain.llm import kneser_ney, minhash, neighbours, packing, queries, simhash, suffixes, unigram, vafile
+from loomgrain.llm import kneser_ney, minhash, neighbours, order, packing, queries, simhash, suffixes, unigram, vafile
 from loomgrain.llm.common import utf8
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +70,16 @@ def test_long_units_take_the_same_path():
     assert coder.encode([text])[0].tolist() == wide
 
 
+def test_a_long_text_without_blanks(spark):
+    coder = unigram.Unigram(unigram.Vocabulary.load(MODEL))
+    r = np.random.default_rng(3)
+    text = "".join(r.choice(["the", "in", "日本", "x9", "é", "ering"], 40_000))
+    ids, ends, score = coder.encode([text, "short one"])
+    assert coder.decode(ids[ends[0] : ends[1]]) == text and np.isfinite(score).all()
+    got = unigram.encode_documents(spark.createDataFrame([(1, text), (1, text), (None, " ".join([text, "b"] * 2))], "doc_id long, text string"), MODEL).collect()
+    assert len(got) == 3 and all(x["round_trip"] for x in got)
+
+
 def test_encode_documents_round_trip(messy, nothing):
     got = unigram.encode_documents(messy, MODEL).collect()
     assert len(got) == messy.count()
@@ -107,12 +117,34 @@ def test_fingerprints_follow_id_order_and_likeness(messy, nothing):
     assert minhash.fingerprint_documents(nothing).count() == 0
 
 
-def test_fingerprints_keep_repeated_and_null_ids(messy):
-    assert minhash.fingerprint_documents(messy).count() == messy.count()
+def plain_successors(docs):
+    """(id, length, edited text's digest) of every row in id order: null first, then by a hash of the text; after the last the first."""
+    docs = sorted(docs, key=lambda d: (-(2**63) if d[0] is None else d[0], xxhash.xxh64_intdigest(utf8(d[1]), 42) + 2**63 & (2**64 - 1), d[1]))
+    return Counter((i, len(t), hashlib.sha256(utf8(minhash.edited(t, n[1]))).hexdigest()) for (i, t), n in zip(docs, docs[1:] + docs[:1]))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_fingerprints_of_repeated_and_null_ids(spark, messy, parts):
+    crowd = [(None, None)] * 40 + [(77, "the same text again")] * 50 + [(78, f"text number {i} of one id") for i in range(60)]
+    docs = messy.select("doc_id", "text").union(spark.createDataFrame(crowd, "doc_id long, text string")).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = minhash.fingerprint_documents(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == plain_successors([(i, t or "") for i, t in rows(docs)])
     one = minhash.fingerprint_documents(messy.where("doc_id = 0")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_an_id_that_fills_several_blocks_is_split():
+    blocks = order.Blocks([5, 7, 7, 7, 7, 9])
+    h = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 4000)
+    got = blocks.of(np.full(4000, 7), np.sort(h))
+    assert (np.diff(got) >= 0).all() and np.bincount(got, minlength=6)[1:5].min() > 800 and blocks.of(np.array([8, 9, 3]), h[:3]).tolist() == [4, 5, 0]
+
+
 # exact search
 
 

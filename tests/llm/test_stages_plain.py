@@ -1,6 +1,7 @@
 """The pipeline's language and quality stages against plain versions, row by row."""
 
 import importlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -46,6 +47,80 @@ def test_language_stage_is_the_plain_one(spark):
     assert want and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+def test_language_queries_are_the_plain_ones(spark, messy):
+    """Profiles from two of three folds, every document ranked: by counters and dictionaries."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").union(messy.where("doc_id is null or doc_id not in (9, 6)").selectExpr("doc_id + 100000", "text", "lang"))
+    rows, total = docs.collect(), {}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and not held(r["doc_id"]):
+            total.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    profiles = {lang: ranks(n) for lang, n in total.items()}
+    want = Counter()
+    for r in rows:
+        own, best = ranks(plain_grams(r["text"])), ("und", 0.0)
+        if own:
+            away, lang = min((sum(abs(p[g] - i) if g in p else 400 for g, i in own.items()), lang) for lang, p in profiles.items())
+            best = (lang, round(1.0 - away / (400 * len(own)), 9))
+        want[r["doc_id"], held(r["doc_id"]), *best] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict_documents(docs).collect()) == want
+
+
+def test_resampling_is_the_plain_one(spark, messy, labels):
+    """Weights, keys, k and the choice, nulls and ties included, without the module's tasks."""
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    known = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            known[r["doc_id"]] = max(r["quality"], known.get(r["doc_id"], 0))
+    sample = {}
+    for i, t in rows:
+        if i in known:
+            sample[i] = min(sample.get(i, t or ""), t or "")
+    grams, n = importance.Grams(), importance.BUCKETS
+    count = lambda texts: 1 + sum((np.bincount(grams.of(t), minlength=n) for t in texts), np.zeros(n))
+    raw, target = count([t or "" for _, t in rows]), count([t for i, t in sample.items() if known[i] == 1])
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    weigh = lambda t: float(ratio[grams.of(t or "")].sum())
+    good, bad = ([weigh(t) for i, t in sample.items() if known[i] == y] for y in (1, 0))
+    seen = sorted(good + bad)
+    cuts = [seen[0], *[(a + b) / 2 for a, b in zip(seen, seen[1:])], seen[-1]]
+    cut = min(cuts, key=lambda c: (round(sum(w < c for w in good) / len(good) + sum(w >= c for w in bad) / len(bad), 12), c))
+    got = importance.resample(messy, labels).collect()
+    assert Counter((r["doc_id"], round(r["log_weight"], 6)) for r in got) == Counter((i, round(weigh(t), 6)) for i, t in rows)
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    k = sum(weigh(t) >= cut - 1e-9 for _, t in rows)
+    border = float("-inf") if k >= len(keys) else keys[k - 1] if k else float("inf")
+    assert {r["selected"] for r in got} <= {True, False} and all(r["selected"] == (r["gumbel_key"] >= border) for r in got)
+    for r in got:  # standard Gumbel noise of the row's own uniform number
+        assert np.isfinite(r["gumbel_key"] - r["log_weight"])
+
+
+def test_passage_stage_is_the_plain_one(spark):
+    """Bytes under 100-byte windows that also begin in an earlier document, characters gone only as a whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect())
+    first = {}
+    for i, raw in rows:
+        for p in range(len(raw) - 99):
+            first.setdefault(raw[p : p + 100], i)
+    want = {}
+    for i, raw in rows:
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if first[raw[p : p + 100]] < i:
+                gone[p : p + 100] = b"\1" * 100
+        text, at = "", 0
+        for c in raw.decode():
+            size = len(c.encode())
+            text += "" if all(gone[at : at + size]) else c
+            at += size
+        want[i] = text
+    got = importlib.import_module("corpus_pipeline").passage_stage(spark, docs, SF).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in got} == want and all(r["n_chars"] == len(r["text"] or "") for r in got if r["text"] is not None)
+    assert any(len(want[i]) < len(raw.decode()) for i, raw in rows)
+
+
 def test_quality_stage_is_the_plain_one(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows, grams, n = docs.collect(), importance.Grams(), importance.BUCKETS
