@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -51,6 +52,11 @@ def local_folder(spark: SparkSession, label: str) -> str:
     return folder
 
 
+def drop_local(folder: str) -> None:
+    """Delete arrays that nothing reads any more."""
+    shutil.rmtree(folder, ignore_errors=True)
+
+
 def fill_absent(folder: str, shards: int, written: set[int], *arrays: tuple[str, np.ndarray]) -> None:
     """Leave empty arrays (``{}`` in a name is the shard) for shards that got no rows, so that a file that isn't there is always an error."""
     for s in set(range(shards)) - written:
