@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -56,15 +57,20 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Depth:
-    """``window`` bytes decide; the first pass looks at ``gram`` of them."""
+    """``window`` bytes decide; the first pass looks at ``gram`` of them, by ``bits`` of their hash."""
 
     window: int = 50
     gram: int = 24
+    bits: int = 64
 
     @property
     def slack(self) -> int:
         return self.window - self.gram
 
+    @property
+    def cut(self) -> np.uint64:
+        return U64(64 - self.bits)
+
     @property
     def context(self) -> int:
         return self.window + self.slack
@@ -94,7 +100,7 @@ def anchors_of(raws: list[bytes], depth: Depth) -> tuple[np.ndarray, np.ndarray,
     chosen = np.nonzero((around[: len(h)] == h[: len(around)]) & (h[: len(around)] != most))[0]
     own = np.searchsorted(begin, chosen, side="right") - 1
     ok = (own >= 0) & (chosen + depth.gram <= (begin + size)[own]) & (size[own] >= depth.window)
-    return joined, begin, chosen[ok], mix64(~h[chosen[ok]])  # least hashes are small: mixed anew, they are dealt evenly
+    return joined, begin, chosen[ok], mix64(~h[chosen[ok]]) >> depth.cut << depth.cut  # least hashes are small: mixed anew, they are dealt evenly
 
 
 def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: int) -> None:
@@ -110,7 +116,7 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
             h, n = np.unique(np.concatenate(held), return_counts=True)
             ends = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
             for s in np.nonzero(np.diff(ends))[0]:
-                yield int(s), squeezed(h[ends[s] : ends[s + 1]], True), squeezed(n[ends[s] : ends[s + 1]].astype(np.uint32))
+                yield int(s), squeezed(h[ends[s] : ends[s + 1]] >> depth.cut, True), squeezed(n[ends[s] : ends[s + 1]].astype(np.uint32))
 
         for pdf in slices(frames, limit=CHUNK):
             _, begin, at, h = anchors_of([utf8(t) for t in pdf["text"]], depth)
@@ -140,7 +146,7 @@ def first_pass(docs: DataFrame, depth: Depth, folder: str, shards: int, crowd: i
         for pdf in frames:
             for s, h, n in zip(pdf["shard"], pdf["h"], pdf["n"], strict=True):
                 shard = int(s)
-                hs.append(opened(h, "<u8", True))
+                hs.append(opened(h, "<u8", True) << depth.cut)
                 ns.append(opened(n, "<u4").astype(np.int64))
                 pending += len(hs[-1])
                 if pending > 1_500_000 and pending > 2 * len(hs[0]):
@@ -378,6 +384,8 @@ def spans_of(docs: DataFrame, depth: Depth, crowd: int = 2_000) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 4 * parts  # a shard is held whole, so they are small
+    size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
+    depth = replace(depth, bits=min(64, 8 + math.ceil(math.log2(2 + size / 8))))  # of 256 grams that occur once, one at most seems to repeat by chance, at any size
     folder = local_folder(spark, "suffixes")
     first_pass(docs, depth, folder, shards, crowd)
 
