@@ -4,10 +4,12 @@ import os
 import stat
 
 import pytest
+from pyspark.sql import functions as F
 from test_scan import of, plant
 
-from loomgrain.frontend.facts import facts_of
-from loomgrain.plans import fixes
+from loomgrain.frontend.facts import extract, facts_of, relation
+from loomgrain.plans import conventions as rules
+from loomgrain.plans import findings, fixes
 from loomgrain.plans.scan import scan, scan_monorepo
 from loomgrain.sources import tree
 
@@ -159,3 +161,84 @@ def test_entries_of_frameworks_registries_and_packages(spark, tmp_path):
     })
     dead = {i["symbol"] for i in of([r.asDict(True) for r in scan(spark, root, only=["dead-code"], verbose=True).issues.collect()], "dead-code")}
     assert {"free", "unasked"} <= dead and not {"listed", "object", "Page", "inPackage"} & dead
+
+
+@pytest.mark.parametrize(
+    ("rel", "code", "spared"),
+    [
+        ("app/api/route.ts", "export async function GET(id: string) { const x = 1; return x; }", True), ("lib/api.ts", "export async function GET(id: string) { const x = 1; return x; }", False),
+        ("app/page.tsx", "export default async function Page() { const x = 1; return x; }", True), ("app/page.tsx", "export async function helper() { const x = 1; return x; }", False),
+        ("pages/a.tsx", "export async function getStaticProps() { const x = 1; return x; }", True), ("pages/api/go.ts", "export default async function handler() { const x = 1; return x; }", True),
+        ("lib/act.ts", "'use server';\nexport async function act() { const x = 1; return x; }", True), ("middleware.ts", "export default async function middleware() { const x = 1; return x; }", True),
+    ],
+)
+def test_framework_conventions(spark, rel, code, spared):
+    functions = extract(spark.createDataFrame([(f"/r/{rel}", rel, code)], "file string, rel string, text string"))
+    assert findings.useless_async(relation(functions, "functions")).isEmpty() is spared
+
+
+def test_path_rules(spark):
+    paths = {"a.gen.ts": "generated", "x/b_pb.js": "generated", "c.pb.ts": "generated", "models/d.ts": "layered", "src/entities.ts": "", "schema/e.ts": "layered", "vendor/f.ts": "skipped", "lib/g.stories.tsx": "skipped", "benchmarks/h.ts": "skipped", "lib/i.ts": ""}
+    rows = spark.createDataFrame([(p, "") for p in paths], "rel string, text string")
+    got = rows.select("rel", rules.is_generated(F.col("rel"), F.col("text")).alias("generated"), F.col("rel").rlike(rules.LAYERED).alias("layered"), F.col("rel").rlike(rules.ORPHAN_SKIP).alias("skipped")).collect()
+    assert {r["rel"]: next((k for k in ("generated", "layered", "skipped") if r[k]), "") for r in got} == paths
+
+
+def statements(n, start=0):
+    return "".join(f"  const a{k} = rows.map((r) => r * {k} + b{k}(r, total));\n" for k in range(start, start + n))
+
+
+def duplicates_of(spark, tmp_path, files):
+    root = plant(tmp_path, {"package.json": {}} | files)
+    return [i.asDict(True) for i in scan(spark, root, only=["duplicates"], verbose=True).issues.collect()]
+
+
+def test_matches_are_clipped_to_function_bodies(spark, tmp_path):
+    outside = "".join(f"const c{k} = rows.map((r) => r * {k} + d{k}(r, total));\n" for k in range(8))
+    assert duplicates_of(spark, tmp_path / "o", {"a.ts": outside, "b.ts": "// other\n" + outside}) == []  # code outside functions never matches
+    found = duplicates_of(spark, tmp_path / "i", {"a.ts": f"{outside}export function one(rows, total) {{\n{statements(8)}}}\n", "b.ts": f"{outside}\nexport function two(rows, total) {{\n{statements(8)}}}\n"})
+    windows = [i for i in found if "AST shape" not in i["preview"]]
+    assert len(windows) == 1 and {p["file"].rsplit("/", 1)[1] for p in [windows[0]["primary"], *windows[0]["matches"]]} == {"a.ts", "b.ts"}
+    assert windows[0]["primary"]["line"] >= 9  # what lies before the function is cut off
+
+
+def test_siblings_in_a_list_are_not_copies(spark, tmp_path):
+    item = lambda n: "{ run: (rows, total) => {\n" + statements(6) + f"  return a0 + {n};\n" + "} },\n"
+    listed = "export const all = [\n" + item(1) + item(2) + "];\n"
+    apart = "export const one = " + item(1).rstrip(",\n") + ";\nexport const two = " + item(2).rstrip(",\n") + ";\n"
+    windows = lambda found: [i for i in found if "AST shape" not in i["preview"]]
+    assert windows(duplicates_of(spark, tmp_path / "l", {"a.ts": listed})) == []
+    assert windows(duplicates_of(spark, tmp_path / "a", {"a.ts": apart}))
+
+
+def test_long_and_short_files_are_left_out_of_duplicates(spark, tmp_path):
+    body = f"export function one(rows, total) {{\n{statements(8)}}}\n"
+    assert duplicates_of(spark, tmp_path / "l", {"a.ts": body, "b.ts": body.replace("one", "two") + "\n" * 5000}) == []
+    assert duplicates_of(spark, tmp_path / "s", {"a.ts": "export function f(x) { return x + 1; }\n", "b.ts": "export function g(x) { return x + 1; }\n"}) == []
+
+
+@pytest.mark.parametrize(("package", "path"), [("next", "app/x/page.tsx"), ("@sveltejs/kit", "src/routes/+page.ts"), ("astro", "src/pages/a.ts"), ("@remix-run/react", "app/routes/a.tsx"), ("nuxt", "composables/a.ts"), ("@solidjs/start", "src/routes/a.tsx"), ("@builder.io/qwik", "src/routes/a.tsx")])
+def test_frameworks_name_their_entries(spark, tmp_path, package, path):
+    def dead(name, deps):
+        root = plant(tmp_path / name, {"package.json": {"devDependencies": deps}, path: "export const thing = 1;\n", "lib/other.ts": "export const other = 1;\n"})
+        return {i["symbol"] for i in scan(spark, root, only=["dead-code"], verbose=True).issues.collect() if i["kind"] == "dead-code"}
+
+    assert dead("with", {package: "1"}) == {"other"} and "thing" in dead("without", {})
+
+
+def test_registry_files_name_entries_beside_and_above_them(spark, tmp_path):
+    root = plant(tmp_path, {
+        "package.json": {}, "ui/_registry.ts": "export const all = [{ path: 'beside.ts' }, { path: 'above.ts' }, { path: 'both.ts' }];\n", "ui/beside.ts": "export const beside = 1;\n", "above.ts": "export const above = 1;\n",
+        "ui/both.ts": "export const both = 1;\n", "both.ts": "export const upperBoth = 1;\n", "ui/free.ts": "export const free = 1;\n",
+    })
+    dead = {i["symbol"] for i in scan(spark, root, only=["dead-code"], verbose=True).issues.collect() if i["kind"] == "dead-code"}
+    assert {"free", "upperBoth"} <= dead and not {"beside", "above", "both"} & dead
+
+
+def test_a_package_import_keeps_what_it_names_in_that_package(spark, tmp_path):
+    root = plant(tmp_path, {
+        "package.json": {"workspaces": ["libs/*"]}, "libs/x/package.json": {"name": "@l/x"}, "libs/x/src/y.ts": "export const same = 1;\n", "libs/z/package.json": {"name": "@l/z"}, "libs/z/src/w.ts": "export const same = 2;\n",
+        "main.ts": "export { same } from '@l/x';\n",
+    })
+    dead = {os.path.relpath(i["location"]["file"], root) for i in scan(spark, root, only=["dead-code"], verbose=True).issues.collect() if i["symbol"] == "same"}
+    assert dead == {"libs/z/src/w.ts"}
