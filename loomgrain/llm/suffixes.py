@@ -383,7 +383,7 @@ def spans_of(docs: DataFrame, depth: Depth, crowd: int = 2_000) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 4 * parts  # a shard is held whole, so they are small
+    shards = 2 * parts  # a shard is held whole, so they are small
     size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
     depth = replace(depth, bits=min(64, 8 + math.ceil(math.log2(2 + size / 8))))  # of 256 grams that occur once, one at most seems to repeat by chance, at any size
     folder = local_folder(spark, "suffixes")
