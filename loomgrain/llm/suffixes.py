@@ -290,12 +290,14 @@ def second_pass(docs: DataFrame, depth: Depth, folder: str, shards: int) -> Data
         def single_windows(e: Entries, spans: list) -> Iterator[tuple]:
             for lo in range(0, len(e.doc), 20_000):
                 x = e.pick(np.arange(lo, min(lo + 20_000, len(e.doc))))
-                r, j = np.nonzero(x.windows(depth))
+                covered = x.windows(depth)
+                r, j = np.nonzero(covered)
                 first, second = (x.window_hashes(depth, base)[r, j] for base in (_BASE, _OTHER_BASE))
                 head = _first_of_equal([second, first], x.doc[r])
                 done = x.doc[r] > x.doc[r][head]
                 start = x.at[r] - j
-                spans.append((x.doc[r][done], x.text[r][done], start[done], start[done] + depth.window))
+                covered[r, j] = done
+                spans.append(_extent(x, covered, depth))  # one span an entry, not one a window
                 keep = np.nonzero(~done)[0]
                 shard = shard_of(first[keep], shards)
                 order = keep[np.argsort(shard, kind="stable")]
