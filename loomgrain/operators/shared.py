@@ -6,9 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _KEPT: dict[str, SparkSession] = {}  # folders that this process wrote and nothing has dropped yet
 
 
@@ -64,6 +68,12 @@ def settled(df: DataFrame) -> DataFrame:
     return written(df, "step")
 
 
+def side_by_side(*calls: Callable[[], T], at_once: int = 8) -> list[T]:
+    """What calls that run Spark jobs of their own return, run at once: the scheduler deals the cores among their stages."""
+    with ThreadPoolExecutor(max(1, min(at_once, len(calls)))) as pool:
+        return list(pool.map(lambda call: call(), calls))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a ``written`` relation that nothing reads any more."""
     drop_folder(df._folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.frontend.facts import relation
 from loomgrain.operators import graph, ngrams
-from loomgrain.operators.shared import settled
+from loomgrain.operators.shared import settled, side_by_side
 from loomgrain.plans import conventions as rules
 from loomgrain.plans.links import Links
 
@@ -195,7 +195,8 @@ def insights(issues: DataFrame, links: Links, monorepo: bool) -> tuple[DataFrame
     """``(insights, consumed(id))``; insights don't exclude one another's inputs."""
     dead, wrappers, dups = (issues.where(F.col("kind") == k) for k in ("dead-code", "empty-wrapper", "duplicate"))
     found, consumed = [], []
-    for ins, ids in (_orphans(dead, links, monorepo), _wrapper_chains(dead, wrappers), _dead_duplicates(dead, dups), _over_abstraction(wrappers), _wrapper_files(wrappers, links)):
+    each = (lambda: _orphans(dead, links, monorepo), lambda: _wrapper_chains(dead, wrappers), lambda: _dead_duplicates(dead, dups), lambda: _over_abstraction(wrappers), lambda: _wrapper_files(wrappers, links))
+    for ins, ids in side_by_side(*each):
         found.append(ins)
         if ids is not None:
             consumed.append(ids.select("id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.frontend.facts import extract, relation
-from loomgrain.operators.shared import settled, written
+from loomgrain.operators.shared import settled, side_by_side, written
 from loomgrain.plans import conventions as rules
 from loomgrain.plans import findings
 from loomgrain.plans.links import Links
@@ -86,20 +86,15 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None, only: l
     stages.end("links")
     production = files.where(~rules.is_test(F.col("rel")) & ~rules.is_generated(F.col("rel"), F.col("text"))).select("rel")
     real = facts.join(production, "rel", "left_semi")
-    wanted = set(only or findings.DETECTORS)
-    parts = []
-    if "duplicates" in wanted:
-        parts.append(findings.duplicates(real, files))
-    if "dead-code" in wanted:
-        outside = spark.createDataFrame([(s,) for s in sorted(consumed)], "symbol string")
-        parts.append(findings.dead_code(relation(real, "decls"), links, config.allow_js, outside))
-    functions = relation(real, "functions")
-    if "empty-wrappers" in wanted:
-        parts.append(findings.empty_wrappers(functions))
-    if "ai-signatures" in wanted:
-        parts += [findings.type_predicates(functions), findings.same_shapes(relation(real, "types"))]
-    if "code-smells" in wanted:
-        parts += [findings.useless_async(functions), findings.empty_catches(relation(real, "catches"))]
+    functions, outside = relation(real, "functions"), spark.createDataFrame([(s,) for s in sorted(consumed)], "symbol string")
+    detectors = {
+        "duplicates": [lambda: findings.duplicates(real, files)],
+        "dead-code": [lambda: findings.dead_code(relation(real, "decls"), links, config.allow_js, outside)],
+        "empty-wrappers": [lambda: findings.empty_wrappers(functions)],
+        "ai-signatures": [lambda: findings.type_predicates(functions), lambda: findings.same_shapes(relation(real, "types"))],
+        "code-smells": [lambda: findings.useless_async(functions), lambda: findings.empty_catches(relation(real, "catches"))],
+    }
+    parts = side_by_side(*[run for name, runs in detectors.items() if name in (only or findings.DETECTORS) for run in runs])
     issues = parts[0]
     for p in parts[1:]:
         issues = issues.unionByName(p)
@@ -199,7 +194,7 @@ def scan_monorepo(spark: SparkSession, root: str, **options) -> Result:
     if not packages:
         return scan(spark, root, **options)
     consumed = cross_workspace_imports(spark, root, packages)
-    results = [scan(spark, os.path.join(root, d), **{**options, "paths": None}, consumed=consumed[d], in_monorepo=True) for _, d in packages]
+    results = side_by_side(*[lambda d=d: scan(spark, os.path.join(root, d), **{**options, "paths": None}, consumed=consumed[d], in_monorepo=True) for _, d in packages], at_once=4)
     issues, insights = results[0].issues, results[0].insights
     for r in results[1:]:
         issues, insights = issues.unionByName(r.issues), insights.unionByName(r.insights)
