@@ -1,4 +1,4 @@
-"""Near-duplicate groups at a Jaccard similarity: an inverted index of rare word shingles with count filtering, then the sets themselves."""
+"""Near-duplicate groups at a Jaccard similarity: SimHashes that lie close, checked on the shingle sets; for pairs that lie further apart an inverted index of rare shingles."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.llm import simhash
 from loomgrain.llm.blocks import Mapped, drop_local, fill_absent, local_folder, opened, places_in, rows_of, save, shard_of, squeezed
 from loomgrain.llm.common import U64, Words, fresh, give_back, lower_ascii, mix64, slices, utf8
 from loomgrain.operators.graph import connected_components
@@ -167,13 +168,16 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
     """``docs`` with one document, of the least id, for each group of near-duplicates; columns as they were.
 
     Groups are the components of all pairs of texts whose sets of word shingles have that Jaccard similarity.
-    Texts with equal sets are one node. A set's shingles are ordered by how often they occur in the corpus, rarest
+    Texts with equal sets are one node. Pairs come from the sets' 64-bit SimHashes first: an index of byte positions,
+    a count of shared ones, a bit check (``simhash.near``), then the sets themselves, formed anew from the texts.
+    SimHash can miss a pair at that similarity, so those not of one component by then have an exact way.
+    A set's shingles are ordered by how often they occur in the corpus, rarest
     first; two similar sets share one of their first few (prefix filtering), and at the first they share both have
     enough left to reach the overlap that the similarity demands (count filtering). So the index loses no pair,
     shingles that occur once take places but no postings, and a common passage stays out of it.
     Each list's members are first held against its most central one (most of whose shingles recur most), which
     joins groups of copies at one pair a member; then all pairs of a list that are not yet of one component meet,
-    in blocks of ``block``. Candidates are linked if their sets, formed anew from the texts, are that similar.
+    in blocks of ``block``. All candidates are linked if their sets are that similar.
     Texts without words are one another's copies only if equal. Null ids come last; equal rows are copies. Very long
     texts are taken whole; an empty table stays empty.
     """
@@ -199,8 +203,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
                 once = len(place) > 0 and node not in sent
                 if once:
                     sent.add(node)
-                out.append((k, h, node, len(s), float(np.log2(n).mean()) if len(s) else 0.0, s[order[place]].view(np.int64) if once else [], place if once else [], t if once else None))
-            yield pd.DataFrame(out, columns=["key", "hash", "node", "size", "central", "cells", "places", "text"])
+                out.append((k, h, node, len(s), simhash.majority(s), float(np.log2(n).mean()) if len(s) else 0.0, s[order[place]].view(np.int64) if once else [], place if once else [], t if once else None))
+            yield pd.DataFrame(out, columns=["key", "hash", "node", "size", "fp", "central", "cells", "places", "text"])
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
@@ -213,7 +217,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
         for pdf in slices(frames, "x_text"):
             yield pdf.loc[[similar(form(a), form(b), similarity) for a, b in zip(pdf["x_text"], pdf["y_text"], strict=True)], ["x", "y"]]
 
-    marked = written(texts.mapInPandas(index, "key long, hash long, node long, size long, central double, cells array<long>, places array<long>, text string"), "indexed")
+    marked = written(texts.mapInPandas(index, "key long, hash long, node long, size long, fp long, central double, cells array<long>, places array<long>, text string"), "indexed")
     nodes = marked.groupBy("node").agg(F.min(F.struct("key", "hash")).alias("least"))
     first = marked.where("text is not null").select("node", "size", "central", F.explode(F.arrays_zip("cells", "places")).alias("p"))
     lists = first.groupBy(F.col("p.cells").alias("cell"), "node").agg(F.min("size").alias("size"), F.min("central").alias("central"), F.min("p.places").alias("place"))
@@ -226,8 +230,23 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
         both = pairs.join(sources.toDF("x", "x_text"), "x").join(sources.toDF("y", "y_text"), "y")
         return written(both.mapInPandas(verify, "x long, y long").toDF("src", "dst"), "links")
 
+    def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+        """The pairs ``(x, y)`` whose nodes aren't of one component yet."""
+        both = pairs.join(root.toDF("x", "x_root"), "x", "left").join(root.toDF("y", "y_root"), "y", "left")
+        return both.where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y")
+
+    alike = written(marked.where("size > 0").groupBy("fp", "node").agg(F.max(F.struct("central", "node", "size")).alias("one")), "simhash")
+    first_of = alike.groupBy("fp").agg(F.max("one").alias("first"))  # equal SimHashes are one entry of the index
+    close = simhash.near(first_of.select("fp", F.col("first.central").alias("weight")), simhash.bits_apart(similarity))
+    close = close.join(first_of.toDF("src", "a"), "src").join(first_of.toDF("dst", "b"), "dst").select("a", "b")
+    close = close.union(alike.join(first_of, "fp").where("one.node <> first.node").select("one", "first"))
+    close = close.where(F.least("a.size", "b.size") >= F.lit(similarity) * F.greatest("a.size", "b.size") - SLACK)
+    near = linked(close.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")))
+    root = connected_components(near)
+
     to_head = lists.where((F.col("node") != F.col("head.node")) & can_reach(similarity, F.col("size"), F.col("place"), F.col("head.size"), F.col("head.place")))
-    edges = linked(to_head.select(F.least("node", "head.node").alias("x"), F.greatest("node", "head.node").alias("y")).distinct())
+    rest = linked(apart(to_head.select(F.least("node", "head.node").alias("x"), F.greatest("node", "head.node").alias("y")).distinct(), root))
+    edges = near.union(rest)
     root = connected_components(edges)
 
     members = lists.select("cell", "node", "size", "place", "n").join(root, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -238,7 +257,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
     part = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
     dealt = dealt.select(part, "node", "size", "place", "block", (F.col("block") == F.col("other")).alias("whole"), "component")
     more = written(dealt.repartition(tasks, "cell").mapInPandas(meet, "x long, y long").distinct(), "pairs")
-    steps = [marked, lists, sources, edges, members, more]
+    steps = [marked, lists, sources, alike, near, rest, members, more]
     if not more.isEmpty():
         steps.append(linked(more))
         root = connected_components(edges.union(steps[-1]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import lower_ascii, slices, texts, utf8
+from loomgrain.llm.common import give_back, lower_ascii, slices, texts, utf8
 from loomgrain.operators.graph import connected_components
 from loomgrain.operators.shared import settled, written
 
@@ -94,6 +95,75 @@ def links(distinct: DataFrame, bits: int = 2, crowded: int = 64) -> DataFrame:
     return pairs.select("src", "dst").union(meet).distinct()
 
 
+def majority(h: np.ndarray) -> int:
+    """The SimHash, as a signed long, of 64-bit hashes: a bit is set if it is in over half of them (none: 0)."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65_536):
+        part = np.ascontiguousarray(h[at : at + 65_536]).astype("<u8", copy=False)
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def bits_apart(similarity: float, deviations: float = 2) -> int:
+    """Bits of 64 in which SimHashes of sets of that Jaccard similarity differ: the mean and so many standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * share + deviations * math.sqrt(64 * share * (1 - share)))
+
+
+#: Sets of three byte positions: two fingerprints that share any three positional bytes meet in one of these 56 lists.
+TRIPLES = np.array(list(combinations(range(8), 3)))
+
+
+def met(postings: pd.DataFrame, bits: int, small: int) -> pd.DataFrame:
+    """Pairs ``(src, dst)`` at most ``bits`` apart from whole lists ``(key, fp, weight)``: all pairs of a list of up to ``small``, else each member with the list's weightiest."""
+    order = np.lexsort((postings["fp"], -postings["weight"], postings["key"]))
+    key, fp = postings["key"].to_numpy()[order], postings["fp"].to_numpy()[order]
+    rows = np.arange(len(key))
+    start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    length = np.diff(np.append(start, len(key)))
+    head, left = np.repeat(start, length), np.repeat(start + length, length) - rows  # a row has left - 1 after it
+    length = np.repeat(length, length)
+    star = rows[(length > small) & (rows > head)]
+    found = [(head[star], star)]
+    for d in range(1, small):
+        i = rows[(length <= small) & (left > d)]
+        found.append((i, i + d))
+    a, b = (fp[np.concatenate(side)] for side in zip(*found, strict=True))
+    close = np.bitwise_count((a ^ b).view(np.uint64)) <= bits
+    pairs = np.unique(np.stack([np.minimum(a, b)[close], np.maximum(a, b)[close]], axis=1), axis=0)
+    return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
+
+
+def near(distinct: DataFrame, bits: int, small: int = 8) -> DataFrame:
+    """Distinct pairs ``(src, dst)`` of ``distinct(fp, weight)`` that share three positional bytes and are at most ``bits`` apart.
+
+    The inverted index has a posting for each fingerprint and each three byte positions, so meeting in a list is the
+    count of shared positional bytes reaching three, which it does for certain up to 5 bits apart. Of a list of more
+    than ``small`` each member meets the weightiest only, so a list costs as many pairs as it has members at
+    most (half of ``small`` for short ones): who needs every pair must find those that are left another way.
+    """
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = len(TRIPLES)
+
+    def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), 2_000):
+                fp, weight = (pdf[c].to_numpy()[at : at + 2_000] for c in ("fp", "weight"))
+                byte = np.ascontiguousarray(fp).astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).astype(np.int32)
+                a, b, c = (byte[:, TRIPLES[:, i]] for i in range(3))
+                key = np.arange(n, dtype=np.int32) << 24 | a << 16 | b << 8 | c
+                yield pd.DataFrame({"key": key.ravel(), "fp": np.repeat(fp, n), "weight": np.repeat(weight, n)})
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            yield met(pd.concat(held, ignore_index=True), bits, small)
+        give_back()
+
+    postings = distinct.select("fp", F.col("weight").cast("float").alias("weight")).mapInPandas(post, "key int, fp long, weight float")
+    return postings.repartition(tasks, "key").mapInPandas(meet, "src long, dst long").distinct()
+
+
 def components(marked: DataFrame, bits: int = 2) -> DataFrame:
     """``(fp, component_id)`` for every fingerprint of ``marked(doc_id, fp)``: the smallest id reachable over links.
 

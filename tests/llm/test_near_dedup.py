@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from loomgrain.llm import neighbours
+from loomgrain.llm import neighbours, simhash
 from loomgrain.llm.common import lower_ascii, utf8
 
 
@@ -90,3 +90,37 @@ def test_recall_does_not_fall_as_strangers_share_more_lists(spark, strangers):
 def test_names_of_the_input_stay_its_own(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 70, 80, 90), (None, None, 1, 2, 3)], "doc_id long, text string, key int, _hash int, HASH int")
     assert sorted(tuple(x) for x in neighbours.keep_one_of_each(docs).where("doc_id is not null").collect()) == [(1, "a b c d e f", 7, 8, 9)]
+
+
+def test_simhash_index_finds_what_shares_three_bytes(spark):
+    """Every pair up to 5 bits apart and every other within the bits that shares three positional bytes, no pair else."""
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(300)]
+    fps = {b ^ sum(1 << i for i in r.sample(range(64), n)) for b in base for n in (0, r.randint(1, 12))}
+    signed = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
+    got = {(p["src"], p["dst"]) for p in simhash.near(spark.createDataFrame([(f, 0.5) for f in signed], "fp long, weight double"), 10).collect()}
+    want, certain = set(), 0
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            d = (a ^ b) & (2**64 - 1)
+            if d.bit_count() <= 10 and d.to_bytes(8, "little").count(0) >= 3:
+                want.add((a, b))
+                certain += d.bit_count() <= 5
+            assert d.bit_count() > 5 or (a, b) in got
+    assert got == want and certain > 60
+
+
+def test_members_of_a_long_simhash_list_meet_its_weightiest():
+    lists = pd.DataFrame({"key": [3] * 5 + [4] * 3, "fp": [16, 1, 2, 4, 8, 32, 64, -1], "weight": [0, 0, 9, 0, 0, 0, 0, 0.0]})
+    assert simhash.met(lists, 2, 4).to_numpy().tolist() == [[1, 2], [2, 4], [2, 8], [2, 16], [32, 64]]
+
+
+def test_near_dedup_takes_its_pairs_by_simhash_and_loses_none_that_it_misses(spark, monkeypatch):
+    docs = near_groups()
+    table, found, real = spark.createDataFrame(docs, "doc_id long, text string"), [], simhash.near
+    monkeypatch.setattr(simhash, "near", lambda *a: found.append(real(*a).collect()) or real(*a))
+    kept = lambda: sorted(r["doc_id"] for r in neighbours.keep_one_of_each(table).collect())
+    assert kept() == plain_one_of_each(docs)
+    assert len(found) == 1 and len(found[0]) > 100
+    monkeypatch.setattr(simhash, "near", lambda *a: real(*a).limit(0))
+    assert kept() == plain_one_of_each(docs)
